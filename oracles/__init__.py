@@ -1,0 +1,10 @@
+"""Independent DuckDB statements for the registered queries."""
+
+from __future__ import annotations
+
+
+def all_oracles() -> dict[str, str]:
+    from oracles.reports import REPORTS
+    from oracles.tables import with_tables
+
+    return {name: with_tables(sql) for name, sql in REPORTS.items()}
