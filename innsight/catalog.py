@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from innsight.operators import billing, bookings, guests, occupancy, services, staff
+from innsight.operators import billing, bookings, guests, occupancy, quality, reconcile, services, staff
 from innsight.params import Params
 from innsight.sources.fixture import FIXTURE_TODAY, fixture_hotel
 from innsight.tables import Hotel
@@ -60,5 +61,40 @@ def _reports() -> dict[str, Callable[[Hotel], DataFrame]]:
     }
 
 
+def _upkeep() -> dict[str, Callable[[Hotel], DataFrame]]:
+    found: dict[str, Callable[[Hotel], DataFrame]] = {}
+    for i, (name, (_, _, rebuild)) in enumerate(reconcile.REBUILDS.items(), start=1):
+        found[f"r{i}_{name}"] = rebuild
+        found[f"r{i}_audit_{name}"] = lambda h, name=name: reconcile.audit(h, name)
+    found |= {
+        "dq_primary_keys": quality.primary_keys,
+        "dq_unique_keys": quality.unique_keys,
+        "dq_foreign_keys": quality.foreign_keys,
+        "dq_row_rules": lambda h: quality.row_rules(h, "regla"),
+        "dq_required_columns": lambda h: quality.row_rules(h, "obligatorio"),
+        "ref_delete_rejected": lambda h: _purge(h).rejected,
+        "ref_delete_removed": _purged_keys,
+    }
+    return found
+
+
+def _purge(h: Hotel) -> quality.Deletion:
+    """Delete every booking that ended more than a year ago, where references allow it."""
+    old = h.reservacion.filter(F.col("fecha_salida") < F.lit(P.last_year.start)).select("id_reservacion")
+    return quality.cascade_delete(h, "reservacion", old)
+
+
+def _purged_keys(h: Hotel) -> DataFrame:
+    parts = [
+        keys.select(F.lit(table).alias("tabla"), F.col(keys.columns[0]).alias("llave"))
+        for table, keys in _purge(h).deleted.items()
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def queries() -> dict[str, Query]:
-    return {name: _on_hotel(build) for name, build in _reports().items()}
+    builds = {**_reports(), **_upkeep()}
+    return {name: _on_hotel(build) for name, build in builds.items()}

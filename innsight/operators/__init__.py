@@ -1,5 +1,5 @@
 """Reports, reconciliation and data quality over a ``Hotel``."""
 
-from innsight.operators import billing, bookings, guests, occupancy, services, staff
+from innsight.operators import billing, bookings, guests, occupancy, quality, reconcile, services, staff
 
-__all__ = ["billing", "bookings", "guests", "occupancy", "services", "staff"]
+__all__ = ["billing", "bookings", "guests", "occupancy", "quality", "reconcile", "services", "staff"]

@@ -6,5 +6,7 @@ from __future__ import annotations
 def all_oracles() -> dict[str, str]:
     from oracles.reports import REPORTS
     from oracles.tables import with_tables
+    from oracles.upkeep import _PURGE, QUALITY, RECONCILE
 
-    return {name: with_tables(sql) for name, sql in REPORTS.items()}
+    plain = {**REPORTS, **RECONCILE, **QUALITY}
+    return {name: with_tables(sql, _PURGE) for name, sql in plain.items()}
