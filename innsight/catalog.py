@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from innsight import plans
 from innsight.operators import billing, bookings, guests, occupancy, quality, reconcile, services, staff
 from innsight.params import Params
-from innsight.sources.fixture import FIXTURE_TODAY, fixture_hotel
-from innsight.tables import Hotel
+from innsight.sources.fixture import (
+    FIXTURE_TODAY,
+    booking_followups,
+    booking_requests,
+    checkin_requests,
+    fixture_hotel,
+    room_events,
+    service_requests,
+)
+from innsight.tables import Delta, Hotel
 
 Query = Callable[[SparkSession, str], DataFrame]
 P = Params(FIXTURE_TODAY)
+NOW = dt.datetime(2001, 6, 15, 11)
 
 
 def _on_hotel(build: Callable[[Hotel], DataFrame]) -> Query:
@@ -95,6 +106,110 @@ def _purged_keys(h: Hotel) -> DataFrame:
     return whole
 
 
+def _insert(delta: Delta, table: str, *generated: str) -> DataFrame:
+    """New rows of ``table`` without the keys hashed for them."""
+    return delta.inserts[table].drop(*generated)
+
+
+def _book(spark: SparkSession, sf_dir: str) -> Delta:
+    return plans.book(fixture_hotel(spark, sf_dir), booking_requests(spark, sf_dir))
+
+
+def _availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = plans.check_availability(fixture_hotel(spark, sf_dir), booking_requests(spark, sf_dir))
+    return judged.select("request_id", "disponible", "motivo_rechazo")
+
+
+def _set_state(spark: SparkSession, sf_dir: str) -> Delta:
+    requests = room_events(spark, sf_dir).select(
+        "request_id",
+        F.col("fecha_hora").alias("arrival"),
+        "id_habitacion",
+        "estado",
+        (F.col("request_id") % 10).alias("id_empleado"),
+        F.lit(None).cast("long").alias("id_reservacion"),
+    )
+    return plans.set_room_state(fixture_hotel(spark, sf_dir), requests)
+
+
+def _check_in(h: Hotel) -> Delta:
+    return plans.check_in(h, checkin_requests(h), NOW)
+
+
+def _checkout(h: Hotel) -> Delta:
+    return plans.checkout(h, booking_followups(h), NOW)
+
+
+def _cancel(h: Hotel) -> Delta:
+    return plans.cancel(h, booking_followups(h), NOW)
+
+
+def _register(spark: SparkSession, sf_dir: str) -> Delta:
+    return plans.register_services(fixture_hotel(spark, sf_dir), service_requests(spark, sf_dir), NOW)
+
+
+def _future(h: Hotel) -> DataFrame:
+    """Every booking that has not begun, as an upgrade request."""
+    return booking_followups(h).filter(F.col("fecha_inicio") > F.lit(P.hoy))
+
+
+def _recomputed(h: Hotel) -> DataFrame:
+    delta = plans.recompute_vip(h, P.hoy)
+    return delta.updates["cliente_vip"].unionByName(delta.inserts["cliente_vip"]).drop("id_vip")
+
+
+def _consumption_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = service_requests(spark, sf_dir).withColumn("precio_unitario", F.lit(1).cast("decimal(12,2)"))
+    return plans.validate_consumption(rows)[1].select("request_id", "motivo_rechazo")
+
+
+def _appliers() -> dict[str, Query]:
+    stored: dict[str, Callable[[Hotel], DataFrame]] = {
+        "p_c_checkout_invoices": lambda h: _insert(_checkout(h), "factura", "id_factura"),
+        "p_c_checkout_payments": lambda h: _insert(_checkout(h), "pago", "id_pago", "id_factura", "referencia"),
+        "p_c_checkout_stays": lambda h: _checkout(h).updates["estancia"],
+        "p_c_checkout_accounts": lambda h: _checkout(h).updates["cuenta"],
+        "p_c_checkout_bookings": lambda h: _checkout(h).updates["reservacion"],
+        "p_c_checkout_rooms": lambda h: _checkout(h).updates["habitacion"],
+        "p_c_checkout_log": lambda h: _insert(_checkout(h), "bitacora_habitacion", "id_bitacora"),
+        "p_c_checkout_rejected": lambda h: _checkout(h).rejected,
+        "p_f_cancel_rows": lambda h: _insert(_cancel(h), "cancelacion", "id_cancelacion"),
+        "p_f_cancel_rejected": lambda h: _cancel(h).rejected,
+        "t_j_cancel_bookings": lambda h: _cancel(h).updates["reservacion"],
+        "t_j_cancel_rooms": lambda h: _cancel(h).updates["habitacion"],
+        "p_g_recompute_vip": _recomputed,
+        "p_j_propose_upgrades": lambda h: plans.propose_upgrades(h, _future(h)).drop("arrival"),
+        "p_j_upgrade_rows": lambda h: plans.upgrade(h, _future(h)).updates["reservacion_habitacion"],
+        "t_a_checkin_stays": lambda h: _insert(_check_in(h), "estancia", "id_estancia"),
+        "t_a_checkin_rooms": lambda h: _check_in(h).updates["habitacion"],
+        "t_g_checkin_rejected": lambda h: _check_in(h).rejected,
+        "t_d_enrol_vip": lambda h: _insert(plans.enrol_vip(h, h.huesped_facturador, P.hoy), "cliente_vip", "id_vip"),
+        "t_e_count_bookings_payers": lambda h: plans.count_bookings(h, h.reservacion).updates["huesped_facturador"],
+        "t_e_count_bookings_vips": lambda h: plans.count_bookings(h, h.reservacion).updates["cliente_vip"],
+        "t_e_count_bookings_legacy": lambda h: plans.count_bookings(h, h.reservacion, True).updates["cliente_vip"],
+        "t_h_expire_bookings": lambda h: plans.expire_bookings(h, P.hoy).updates["reservacion"],
+        "t_i_service_prices": lambda h: plans.validate_service_prices(h.servicio)[0],
+    }
+    batches: dict[str, Query] = {
+        "p_a_book_bookings": lambda s, d: _insert(_book(s, d), "reservacion", "id_reservacion"),
+        "p_a_book_rooms": lambda s, d: _insert(
+            _book(s, d), "reservacion_habitacion", "id_reservacion", "id_reservacion_habitacion"
+        ),
+        "p_a_book_vips": lambda s, d: _book(s, d).updates["cliente_vip"],
+        "p_a_book_rejected": lambda s, d: _book(s, d).rejected,
+        "p_b_state_log": lambda s, d: _insert(_set_state(s, d), "bitacora_habitacion", "id_bitacora"),
+        "p_b_state_rooms": lambda s, d: _set_state(s, d).updates["habitacion"],
+        "p_d_check_availability": _availability,
+        "p_e_service_consumption": lambda s, d: _insert(_register(s, d), "consumo_servicio", "id_consumo"),
+        "p_e_service_lines": lambda s, d: _insert(_register(s, d), "detalle_cuenta", "id_detalle_cuenta"),
+        "p_e_service_rejected": lambda s, d: _register(s, d).rejected,
+        "t_c_room_state_log": lambda s, d: plans.room_state_log(room_events(s, d)),
+        "t_f_booking_dates": lambda s, d: plans.validate_booking_dates(booking_requests(s, d))[1],
+        "t_i_consumption_rejected": _consumption_refused,
+    }
+    return {**{name: _on_hotel(build) for name, build in stored.items()}, **batches}
+
+
 def queries() -> dict[str, Query]:
     builds = {**_reports(), **_upkeep()}
-    return {name: _on_hotel(build) for name, build in builds.items()}
+    return {**{name: _on_hotel(build) for name, build in builds.items()}, **_appliers()}

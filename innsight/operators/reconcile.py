@@ -88,7 +88,7 @@ def rebuild_payment_amounts(hotel: Hotel) -> DataFrame:
 
 
 def _bookings_per_payer(bookings: DataFrame) -> DataFrame:
-    return bookings.groupBy("id_huesped_facturador").agg(F.count("*").cast("int").alias("_n"))
+    return bookings.groupBy("id_huesped_facturador").agg(F.count("*").alias("_n"))
 
 
 def rebuild_payer_counts(hotel: Hotel) -> DataFrame:
@@ -96,14 +96,14 @@ def rebuild_payer_counts(hotel: Hotel) -> DataFrame:
     joined = hotel.huesped_facturador.join(
         _bookings_per_payer(hotel.reservacion), "id_huesped_facturador", "left"
     )
-    return _with(joined, numero_reservas=F.coalesce("_n", F.lit(0))).select(*hotel.huesped_facturador.columns)
+    return _with(joined, numero_reservas=F.coalesce("_n", F.lit(0).cast("long"))).select(*hotel.huesped_facturador.columns)
 
 
 def rebuild_vip_counts(hotel: Hotel) -> DataFrame:
     """``contador_reservas`` = bookings of the payer that were not cancelled; expired ones count."""
     live = hotel.reservacion.filter(F.col("estado") != "cancelada")
     joined = hotel.cliente_vip.join(_bookings_per_payer(live), "id_huesped_facturador", "left")
-    return _with(joined, contador_reservas=F.coalesce("_n", F.lit(0))).select(*hotel.cliente_vip.columns)
+    return _with(joined, contador_reservas=F.coalesce("_n", F.lit(0).cast("long"))).select(*hotel.cliente_vip.columns)
 
 
 def rebuild_room_state(hotel: Hotel) -> DataFrame:

@@ -132,14 +132,14 @@ _ALL = (
     Table(
         "huesped_facturador",
         _struct("id_huesped_facturador long, id_huesped long, direccion str, telefono_casa str?,"
-                "telefono_celular str, email str, rfc str, procedencia str?, numero_reservas int"),
+                "telefono_celular str, email str, rfc str, procedencia str?, numero_reservas long"),
         unique=(("id_huesped",), ("email",), ("rfc",)),
         references=(Reference("id_huesped", "huesped"),),
     ),
     Table(
         "cliente_vip",
-        _struct("id_vip long, id_huesped_facturador long, nivel_vip str, puntos_acumulados int,"
-                "contador_reservas int, fecha_registro date"),
+        _struct("id_vip long, id_huesped_facturador long, nivel_vip str, puntos_acumulados long,"
+                "contador_reservas long, fecha_registro date"),
         unique=(("id_huesped_facturador",),),
         references=(Reference("id_huesped_facturador", "huesped_facturador", CASCADE),),
         checks=(("nivel_vip", _in("nivel_vip", NIVELES_VIP)),),

@@ -108,7 +108,7 @@ class _Fixture:
                 F.concat(F.lit("payer"), text, F.lit("@example.com")).alias("email"),
                 F.concat(F.lit("RFC"), text).alias("rfc"),
                 F.col("c_mktsegment").alias("procedencia"),
-                (c % 12).cast("int").alias("numero_reservas"),
+                (c % 12).alias("numero_reservas"),
             )
         )
 
@@ -125,8 +125,8 @@ class _Fixture:
                 .when((i % 7).isin(2, 3), "plata")
                 .otherwise("bronce")
                 .alias("nivel_vip"),
-                (i * 137 % 5000).cast("int").alias("puntos_acumulados"),
-                (i % 6).cast("int").alias("contador_reservas"),
+                (i * 137 % 5000).alias("puntos_acumulados"),
+                (i % 6).alias("contador_reservas"),
                 F.date_sub(self.hoy, (i * 11 % 540).cast("int")).alias("fecha_registro"),
             )
         )
@@ -534,3 +534,71 @@ def room_event_columns(events: DataFrame) -> DataFrame:
         state.alias("estado"),
         F.col("ts").alias("fecha_hora"),
     )
+
+
+# --- request batches -----------------------------------------------------
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+
+
+def booking_requests(spark: SparkSession, sf_dir: str, hoy: dt.date = FIXTURE_TODAY) -> DataFrame:
+    """One booking request per order, over the next months; some ask for no night at all."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rooms = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.count("*")).scalar()
+    start = F.date_add(F.lit(hoy), ((k * 13 + c) % 120).cast("int"))
+    return _orders(spark, sf_dir).select(
+        k.alias("request_id"),
+        F.col("o_orderdate").alias("arrival"),
+        c.alias("id_huesped"),
+        F.when(c % 10 == 3, c - 1).otherwise(c).alias("id_huesped_facturador"),
+        (k % 10).alias("id_usuario"),
+        start.alias("fecha_inicio"),
+        F.date_add(start, (k % 6).cast("int")).alias("fecha_salida"),
+        _pick(("internet", "telefono", "presencial"), k % 3).alias("metodo"),
+        ((k * 31 + c) % rooms).alias("id_habitacion"),
+    )
+
+
+def booking_followups(hotel: Hotel) -> DataFrame:
+    """One request per stored booking, in order of arrival date."""
+    k = F.col("id_reservacion")
+    return hotel.reservacion.select(
+        k.alias("request_id"),
+        F.col("fecha_inicio").cast("timestamp_ntz").alias("arrival"),
+        k,
+        (k % 10).alias("id_empleado"),
+        (k % 10).alias("id_usuario"),
+        F.concat(F.lit("Motivo "), (k % 8).cast("string")).alias("motivo"),
+        "fecha_inicio",
+        "estado",
+    )
+
+
+def checkin_requests(hotel: Hotel) -> DataFrame:
+    """Expected bookings asking for the first of their rooms."""
+    room = hotel.reservacion_habitacion.groupBy("id_reservacion").agg(F.min("id_habitacion").alias("id_habitacion"))
+    return (
+        booking_followups(hotel)
+        .filter(F.col("estado").isin("pendiente", "confirmada"))
+        .join(room, "id_reservacion")
+        .select("request_id", "arrival", "id_reservacion", "id_empleado", "id_habitacion")
+    )
+
+
+def service_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items from the third on as service requests; small quantities become invalid."""
+    fixture = _Fixture(spark, sf_dir, FIXTURE_TODAY)
+    return (
+        fixture.raw("lineitem")
+        .filter(F.col("l_linenumber") > 2)
+        .select(
+            fixture._line_id().alias("request_id"),
+            F.col("l_shipdate").alias("arrival"),
+            F.col("l_orderkey").alias("id_reservacion"),
+            F.col("l_partkey").alias("id_servicio"),
+            F.col("l_suppkey").alias("id_empleado"),
+            (F.floor("l_quantity") - 5).cast("int").alias("cantidad"),
+        )
+    )

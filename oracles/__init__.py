@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def all_oracles() -> dict[str, str]:
+    from oracles.changes import CHANGES, STEPS
     from oracles.reports import REPORTS
     from oracles.tables import with_tables
-    from oracles.upkeep import _PURGE, QUALITY, RECONCILE
+    from oracles.upkeep import PURGE, QUALITY, RECONCILE
 
-    plain = {**REPORTS, **RECONCILE, **QUALITY}
-    return {name: with_tables(sql, _PURGE) for name, sql in plain.items()}
+    plain = {**REPORTS, **RECONCILE, **QUALITY, **CHANGES}
+    return {name: with_tables(sql, {**PURGE, **STEPS}) for name, sql in plain.items()}
