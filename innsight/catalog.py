@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight import plans
+from innsight import plans, streaming
 from innsight.operators import billing, bookings, guests, occupancy, quality, reconcile, services, staff
 from innsight.params import Params
 from innsight.sources.fixture import (
@@ -19,6 +19,10 @@ from innsight.sources.fixture import (
     fixture_hotel,
     room_events,
     service_requests,
+    stream_bookings,
+    stream_consumption,
+    stream_room_events,
+    stream_service_requests,
 )
 from innsight.tables import Delta, Hotel
 
@@ -210,6 +214,42 @@ def _appliers() -> dict[str, Query]:
     return {**{name: _on_hotel(build) for name, build in stored.items()}, **batches}
 
 
+def _stream_room_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = streaming.RoomLog(spark, streaming.work_dir(spark, "room-log"))
+    log.run(stream_room_events(spark, sf_dir))
+    return log.log()
+
+
+def _stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = streaming.work_dir(spark, "counters")
+    streaming.run_booking_counters(stream_bookings(spark, sf_dir), root)
+    return streaming.booking_counters(spark, root)
+
+
+def _stream_validator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = streaming.work_dir(spark, "validator")
+    rows = stream_service_requests(spark, sf_dir).withColumn("precio_unitario", F.lit(1).cast("decimal(12,2)"))
+    streaming.run_consumption_validator(rows, root)
+    valid = spark.read.parquet(f"{root}/validos").select("request_id", F.lit(None).cast("string").alias("motivo_rechazo"))
+    refused = spark.read.parquet(f"{root}/rechazados").select("request_id", "motivo_rechazo")
+    return valid.unionByName(refused)
+
+
+def _stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = streaming.work_dir(spark, "windows")
+    streaming.run_consumption_windows(stream_consumption(spark, sf_dir), root)
+    return spark.read.parquet(f"{root}/ventanas")
+
+
+def _streams() -> dict[str, Query]:
+    return {
+        "s1_room_state_log": _stream_room_log,
+        "s2_booking_counters": _stream_counters,
+        "s3_consumption_validator": _stream_validator,
+        "s4_consumption_windows": _stream_windows,
+    }
+
+
 def queries() -> dict[str, Query]:
     builds = {**_reports(), **_upkeep()}
-    return {**{name: _on_hotel(build) for name, build in builds.items()}, **_appliers()}
+    return {**{name: _on_hotel(build) for name, build in builds.items()}, **_appliers(), **_streams()}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from innsight.functions.expressions import MONEY, money
 from innsight.schemas import METODOS_PAGO, ROLES_USUARIO
+from innsight.streaming._common import file_stream
 from innsight.tables import Hotel
 
 FIXTURE_TODAY = dt.date(2001, 6, 15)
@@ -36,12 +37,16 @@ def _at(day: Column, clock: str) -> Column:
 
 
 class _Fixture:
-    def __init__(self, spark: SparkSession, sf_dir: str, hoy: dt.date):
+    def __init__(self, spark: SparkSession, sf_dir: str, hoy: dt.date, live: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.dir = sf_dir
         self.hoy = F.lit(hoy)
+        self.live = live or {}
 
     def raw(self, name: str) -> DataFrame:
+        """A source table, or the stream that stands in for it."""
+        if name in self.live:
+            return self.live[name]
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     # --- dimensions -----------------------------------------------------
@@ -587,9 +592,32 @@ def checkin_requests(hotel: Hotel) -> DataFrame:
     )
 
 
-def service_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return file_stream(spark, sf_dir, f"{name}.parquet", schema)
+
+
+def stream_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reservacion`` with the orders arriving as a stream."""
+    return _Fixture(spark, sf_dir, FIXTURE_TODAY, {"orders": _stream(spark, sf_dir, "orders")}).reservacion()
+
+
+def stream_consumption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``consumo_servicio`` with the line items arriving as a stream."""
+    return _Fixture(spark, sf_dir, FIXTURE_TODAY, {"lineitem": _stream(spark, sf_dir, "lineitem")}).consumo_servicio()
+
+
+def stream_service_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return service_requests(spark, sf_dir, {"lineitem": _stream(spark, sf_dir, "lineitem")})
+
+
+def stream_room_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return room_event_columns(_stream(spark, sf_dir, "events"))
+
+
+def service_requests(spark: SparkSession, sf_dir: str, live: dict[str, DataFrame] | None = None) -> DataFrame:
     """Line items from the third on as service requests; small quantities become invalid."""
-    fixture = _Fixture(spark, sf_dir, FIXTURE_TODAY)
+    fixture = _Fixture(spark, sf_dir, FIXTURE_TODAY, live)
     return (
         fixture.raw("lineitem")
         .filter(F.col("l_linenumber") > 2)

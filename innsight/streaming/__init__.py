@@ -1,0 +1,23 @@
+"""Structured Streaming jobs for the logic that follows from single-row changes."""
+
+from innsight.streaming._common import drain, file_stream, work_dir
+from innsight.streaming.consumption import (
+    consumption_by_service_window,
+    run_consumption_validator,
+    run_consumption_windows,
+)
+from innsight.streaming.counters import booking_counters, booking_counters_stream, run_booking_counters
+from innsight.streaming.room_log import RoomLog
+
+__all__ = [
+    "RoomLog",
+    "booking_counters",
+    "booking_counters_stream",
+    "consumption_by_service_window",
+    "drain",
+    "file_stream",
+    "run_booking_counters",
+    "run_consumption_validator",
+    "run_consumption_windows",
+    "work_dir",
+]
