@@ -9,6 +9,7 @@ from innsight.functions.expressions import (
     money,
     month_of,
     nights,
+    ntz,
     percentage,
     total_money,
     vip_level,
@@ -24,6 +25,7 @@ __all__ = [
     "money",
     "month_of",
     "nights",
+    "ntz",
     "percentage",
     "total_money",
     "vip_level",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -58,6 +59,11 @@ def nights(start: str, end: str) -> Column:
     )
 
 
+def ntz(moment: dt.datetime) -> Column:
+    """A zone-less timestamp literal, whatever the zone of driver or session."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def money(value: Column) -> Column:
     return F.round(value, 2).cast(MONEY)
 

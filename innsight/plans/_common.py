@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,11 +76,3 @@ def held_room_nights(hotel: Hotel, span: DataFrame | None = None) -> DataFrame:
         .groupBy(*ROOM_NIGHT)
         .agg(F.min("id_reservacion").alias("reserva_menor"), F.max("id_reservacion").alias("reserva_mayor"))
     )
-
-
-def at(now: dt.datetime) -> Column:
-    return F.lit(now).cast("timestamp_ntz")
-
-
-def no_rows(df: DataFrame) -> DataFrame:
-    return df.limit(0)

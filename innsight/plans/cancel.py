@@ -7,9 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions import money
+from innsight.functions import money, ntz
 from innsight.functions.expressions import MONEY
-from innsight.plans._common import at, first_reason, known, mark_first, new_id, split
+from innsight.plans._common import first_reason, known, mark_first, new_id, split
 from innsight.plans.rooms import move_rooms
 from innsight.schemas import DIAS_SIN_PENALIZACION, RESERVA_FINAL, TASA_PENALIZACION
 from innsight.tables import Delta, Hotel
@@ -41,7 +41,7 @@ def cancel(hotel: Hotel, requests: DataFrame, now: dt.datetime, strict_release:
     candidates, refused = split(judged)
     ranked = mark_first(candidates, "id_reservacion")
     late = ranked.filter(~F.col("es_primera")).select("request_id", F.lit("final_state").alias("motivo_rechazo"))
-    accepted = ranked.filter("es_primera").withColumn("fecha_cancelacion", at(now))
+    accepted = ranked.filter("es_primera").withColumn("fecha_cancelacion", ntz(now))
     effects = cancellation_effects(hotel, accepted, now, strict_release)
     return Delta(effects.inserts, effects.updates, refused.unionByName(late))
 
@@ -85,5 +85,5 @@ def cancellation_effects(
             .select("id_habitacion")
         )
         released = released.join(others, "id_habitacion", "left_anti")
-    moved = move_rooms(hotel, released, ("ocupada",), "disponible", at(now))
+    moved = move_rooms(hotel, released, ("ocupada",), "disponible", ntz(now))
     return Delta({"cancelacion": rows, **moved.inserts}, {"reservacion": bookings, **moved.updates})

@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions import money
-from innsight.plans._common import at, first_reason, known, mark_first, new_id, split
+from innsight.functions import money, ntz
+from innsight.plans._common import first_reason, known, mark_first, new_id, split
 from innsight.plans.rooms import move_rooms
 from innsight.schemas import TASA_IVA
 from innsight.tables import Delta, Hotel
@@ -45,7 +45,7 @@ def checkout(hotel: Hotel, requests: DataFrame, now: dt.datetime, strict: bool =
 
     done = accepted.select("id_reservacion").distinct()
     closing = open_stays.join(done, "id_reservacion", "left_semi")
-    stays = closing.withColumn("fecha_hora_checkout_real", at(now)).select(*hotel.estancia.columns)
+    stays = closing.withColumn("fecha_hora_checkout_real", ntz(now)).select(*hotel.estancia.columns)
     closed = (
         hotel.cuenta.filter(F.col("fecha_cierre").isNull())
         .join(done, "id_reservacion", "left_semi")
@@ -77,7 +77,7 @@ def checkout(hotel: Hotel, requests: DataFrame, now: dt.datetime, strict: bool =
         F.concat(F.lit("FAST-"), F.lpad(F.col("id_factura").cast("string"), 6, "0")).alias("referencia"),
         F.lit("completado").alias("estado"),
     )
-    released = move_rooms(hotel, closing.select("id_habitacion").distinct(), ("ocupada",), "limpieza", at(now))
+    released = move_rooms(hotel, closing.select("id_habitacion").distinct(), ("ocupada",), "limpieza", ntz(now))
     return Delta(
         {"factura": invoices, "pago": payments, **released.inserts},
         {"estancia": stays, "cuenta": closed, "reservacion": completed, **released.updates},

@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from innsight.plans._common import at, first_reason, known, mark_first, new_id, split
+from innsight.functions import ntz
+from innsight.plans._common import first_reason, known, mark_first, new_id, split
 from innsight.schemas import ESTADOS_HABITACION, HABITACION_ASIGNABLE
 from innsight.tables import Delta, Hotel
 
@@ -151,7 +152,7 @@ def check_in(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> Delta:
                 ("unknown_room", F.col("estado").isNull()),
                 ("unknown_booking", F.col("_salida").isNull()),
                 ("unknown_employee", F.col("_empleado").isNull()),
-                ("checkout_not_after_checkin", F.col("_programado") <= at(now)),
+                ("checkout_not_after_checkin", F.col("_programado") <= ntz(now)),
             ),
         )
     )
@@ -164,9 +165,9 @@ def check_in(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> Delta:
         "id_reservacion",
         "id_empleado",
         "id_habitacion",
-        at(now).alias("fecha_hora_checkin"),
+        ntz(now).alias("fecha_hora_checkin"),
         F.col("_programado").alias("fecha_hora_checkout_programado"),
         F.lit(None).cast("timestamp_ntz").alias("fecha_hora_checkout_real"),
     )
-    moved = move_rooms(hotel, accepted, HABITACION_ASIGNABLE, "ocupada", at(now))
+    moved = move_rooms(hotel, accepted, HABITACION_ASIGNABLE, "ocupada", ntz(now))
     return Delta({"estancia": stays, **moved.inserts}, moved.updates, refused.unionByName(late))

@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions import money
-from innsight.plans._common import at, first_reason, known, new_id, split
+from innsight.functions import money, ntz
+from innsight.plans._common import first_reason, known, new_id, split
 from innsight.schemas import FACTOR_CON_IVA, RESERVA_CONSUME, TASA_IVA
 from innsight.tables import Delta, Hotel
 
@@ -48,7 +48,7 @@ def register_services(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> De
         "id_empleado",
         "cantidad",
         F.col("precio").alias("precio_unitario"),
-        at(now).alias("fecha_hora"),
+        ntz(now).alias("fecha_hora"),
     )
     gross = F.col("cantidad") * F.col("precio")
     lines = accepted.join(hotel.cuenta.select("id_reservacion", "id_cuenta"), "id_reservacion").select(

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from innsight.functions import ntz
 from innsight.plans.rooms import previous_value
 from innsight.session import checkpoint
 from innsight.streaming._common import drain, each_batch, put
@@ -72,15 +73,15 @@ class RoomLog:
         arrived = checkpoint(fresh.select(*_names(_EVENTS)))
         on_time = arrived
         if closed is not None:
-            put(arrived.filter(F.col("fecha_hora") <= F.lit(closed)), f"{self.root}/tardios", batch)
-            on_time = arrived.filter(F.col("fecha_hora") > F.lit(closed))
+            put(arrived.filter(F.col("fecha_hora") <= ntz(closed)), f"{self.root}/tardios", batch)
+            on_time = arrived.filter(F.col("fecha_hora") > ntz(closed))
         else:
             put(arrived.limit(0), f"{self.root}/tardios", batch)
         newest = arrived.agg(F.max("fecha_hora")).first()[0]
         horizon = max((h for h in (closed, newest - self.delay if newest else None) if h), default=None)
 
         waiting = self._carried("pendientes", _EVENTS, batch - 1).unionByName(on_time)
-        ready = F.lit(False) if horizon is None else F.col("fecha_hora") <= F.lit(horizon)
+        ready = F.lit(False) if horizon is None else F.col("fecha_hora") <= ntz(horizon)
         due, later = waiting.filter(ready), waiting.filter(~ready)
         states = self._carried("estados", _STATES, batch - 1)
 
