@@ -228,26 +228,42 @@ def propose_upgrades(hotel: Hotel, requests: DataFrame, probe: int = 8) -> DataF
     )
 
 
-def upgrade(hotel: Hotel, requests: DataFrame) -> Delta:
+def upgrade(hotel: Hotel, requests: DataFrame, rounds: int | None = 1) -> Delta:
     """Move booked rooms to their proposed upgrade; rate and subtotal stay.
 
-    Of requests that want the same room for the same night the earliest gets it;
-    the others come back as ``taken_in_batch``, to be sent again against the new
-    bookings. Requests without a better room change nothing.
+    Of requests that want the same room for the same night the earliest gets it.
+    The others propose again against the calendar with the moves made so far,
+    for as many ``rounds`` as asked, or with None until nobody is left waiting.
+    Whoever still waits comes back as ``taken_in_batch`` and can be sent again.
+    Requests without a better room change nothing.
     """
     from innsight.plans.booking import first_come
 
-    proposed = checkpoint(propose_upgrades(hotel, requests))
-    _, refused = split(proposed)
-    wanting = proposed.filter(F.col("id_habitacion_nueva").isNotNull())
-    granted = first_come(wanting.withColumnRenamed("id_habitacion_nueva", "id_habitacion"))
-    late = wanting.join(granted, "request_id", "left_anti").select(
-        "request_id", F.lit("taken_in_batch").alias("motivo_rechazo")
-    )
-    moves = wanting.join(granted, "request_id", "left_semi").select("id_reservacion", "id_habitacion_nueva")
+    base = hotel.reservacion_habitacion
+    moves = requests.sparkSession.createDataFrame([], "id_reservacion long, id_habitacion_nueva long")
+    refused: DataFrame | None = None
+    waiting, done = requests, 0
+    while True:
+        moved = base.join(moves, "id_reservacion", "left").withColumn(
+            "id_habitacion", F.coalesce("id_habitacion_nueva", "id_habitacion")
+        )
+        now = hotel.replace(reservacion_habitacion=moved.select(*base.columns))
+        proposed = checkpoint(propose_upgrades(now, waiting))
+        if refused is None:
+            refused = split(proposed)[1]
+        wanting = proposed.filter(F.col("id_habitacion_nueva").isNotNull())
+        granted = first_come(wanting.withColumnRenamed("id_habitacion_nueva", "id_habitacion"))
+        won = wanting.join(granted, "request_id", "left_semi").select("id_reservacion", "id_habitacion_nueva")
+        moves = checkpoint(moves.join(won, "id_reservacion", "left_anti").unionByName(won))
+        late = wanting.join(granted, "request_id", "left_anti").select("request_id", "arrival", "id_reservacion")
+        waiting = checkpoint(late)
+        done += 1
+        if (rounds is not None and done >= rounds) or waiting.isEmpty():
+            break
     rows = (
-        hotel.reservacion_habitacion.join(moves, "id_reservacion")
+        base.join(moves, "id_reservacion")
         .withColumn("id_habitacion", F.col("id_habitacion_nueva"))
-        .select(*hotel.reservacion_habitacion.columns)
+        .select(*base.columns)
     )
+    late = waiting.select("request_id", F.lit("taken_in_batch").alias("motivo_rechazo"))
     return Delta(updates={"reservacion_habitacion": rows}, rejected=refused.unionByName(late))
