@@ -21,9 +21,18 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def seed(spark):
-    """The generated hotel of scale 1, kept in memory."""
+def seed_root(spark, tmp_path_factory):
+    """The generated hotel of scale 1, stored as parquet."""
     from innsight.sources.generator import generate
+    from innsight.sources.store import write_hotel
 
-    hotel = generate(spark)
-    return hotel.replace(**{name: hotel.table(name).cache() for name in hotel.names()})
+    root = str(tmp_path_factory.mktemp("hotel"))
+    write_hotel(generate(spark), root)
+    return root
+
+
+@pytest.fixture(scope="session")
+def seed(spark, seed_root):
+    from innsight.sources.store import read_hotel
+
+    return read_hotel(spark, seed_root)
