@@ -11,6 +11,7 @@ from innsight.functions.expressions import (
     nights,
     ntz,
     percentage,
+    ratio,
     total_money,
     vip_level,
     whole_days,
@@ -27,6 +28,7 @@ __all__ = [
     "nights",
     "ntz",
     "percentage",
+    "ratio",
     "total_money",
     "vip_level",
     "whole_days",

@@ -32,8 +32,17 @@ def field_rank(column: str | Column, values: Sequence[str]) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values]), c), F.lit(0))
 
 
+def ratio(part: Column, whole: Column) -> Column:
+    """Exact quotient rounded half up to two places; NULL when ``whole`` is 0 or NULL.
+
+    Divided as decimals: a binary quotient can fall on the wrong side of a tie.
+    """
+    exact = F.try_divide(part.cast("decimal(24,2)"), whole.cast("decimal(20,0)"))
+    return F.round(exact, 2).cast("double")
+
+
 def percentage(part: Column, whole: Column) -> Column:
-    return F.round(F.lit(100.0) * part.cast("double") / whole.cast("double"), 2)
+    return ratio(part * 100, whole)
 
 
 def hours_between(start: str | Column, end: str | Column) -> Column:

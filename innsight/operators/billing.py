@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions import field_rank, half_open, month_of, total_money
+from innsight.functions import field_rank, half_open, month_of, ratio, total_money
 from innsight.operators._common import collected, payers
 from innsight.params import Params, Window, add_months
 from innsight.schemas import ORDEN_PAGO
@@ -84,7 +84,7 @@ def daily_billing_stats(hotel: Hotel, p: Params) -> DataFrame:
         F.min("fecha_emision").alias("desde"),
         F.max("fecha_emision").alias("hasta"),
         F.count("*").alias("dias_con_factura"),
-        F.round(F.avg(amount), 2).alias("promedio_diario"),
+        ratio(F.sum("total_dia"), F.count("*")).alias("promedio_diario"),
         total_money("total_dia").alias("total_periodo"),
         F.round(F.stddev_samp(amount), 2).alias("desviacion_diaria"),
     )

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions import half_open, percentage, total_money
+from innsight.functions import half_open, percentage, ratio, total_money
 from innsight.operators._common import guests, payers, room_categories
 from innsight.params import Params
 from innsight.schemas import RESERVA_POR_LLEGAR
@@ -200,7 +200,6 @@ def bookings_by_category(hotel: Hotel, p: Params) -> DataFrame:
 
 def revenue_by_category(hotel: Hotel, p: Params) -> DataFrame:
     """Room revenue and average daily rate per category."""
-    nights = F.nullif(F.col("noches_vendidas"), F.lit(0))
     return (
         _sold(hotel, p)
         .select(
@@ -208,7 +207,7 @@ def revenue_by_category(hotel: Hotel, p: Params) -> DataFrame:
             "reservas",
             "noches_vendidas",
             F.col("ingreso").alias("ingreso_habitacion"),
-            F.round(F.col("ingreso").cast("double") / nights.cast("double"), 2).alias("adr"),
+            ratio(F.col("ingreso"), F.col("noches_vendidas")).alias("adr"),
         )
         .orderBy(F.desc("ingreso_habitacion"), "categoria")
     )

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from innsight.functions import field_rank, full_name, half_open, hours_between, month_of, percentage
+from innsight.functions import field_rank, full_name, half_open, hours_between, month_of, percentage, ratio
 from innsight.operators._common import (
     categories,
     guests,
@@ -185,9 +185,7 @@ def avg_stay_by_category(hotel: Hotel) -> DataFrame:
         .groupBy("id_categoria", "categoria")
         .agg(
             F.sum("n").alias("estancias"),
-            F.round(
-                F.sum("horas").cast("double") / F.nullif(F.sum("n_horas"), F.lit(0)).cast("double") / 24.0, 2
-            ).alias("noches_promedio"),
+            ratio(F.sum("horas"), F.sum("n_horas") * 24).alias("noches_promedio"),
             F.min("menor").alias("noches_min"),
             F.max("mayor").alias("noches_max"),
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions import full_name, half_open, percentage
+from innsight.functions import full_name, half_open, percentage, ratio
 from innsight.params import Params
 from innsight.tables import Hotel
 
@@ -43,7 +43,7 @@ def complaints_by_department(hotel: Hotel, p: Params) -> DataFrame:
             F.count("*").alias("quejas"),
             F.count_if(solved).alias("resueltas"),
             percentage(F.count_if(solved), F.count("*")).alias("pct_resueltas"),
-            F.round(F.avg(F.when(solved, F.datediff("fecha_resolucion", "fecha_queja"))), 2).alias(
+            ratio(F.sum(F.datediff("fecha_resolucion", "fecha_queja")), F.count_if(solved)).alias(
                 "dias_resolucion_promedio"
             ),
         )
@@ -59,7 +59,7 @@ def satisfaction_ranking(hotel: Hotel, p: Params) -> DataFrame:
         .groupBy("departamento")
         .agg(
             F.count("*").alias("encuestas"),
-            F.round(F.avg("calificacion"), 2).alias("rating_promedio"),
+            ratio(F.sum("calificacion"), F.count("*")).alias("rating_promedio"),
             F.count_if(happy).alias("satisfechos"),
             percentage(F.count_if(happy), F.count("*")).alias("pct_satisfechos"),
         )
