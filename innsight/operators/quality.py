@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innsight.schemas import CASCADE, RESTRICT, SET_NULL, TABLES, Table, children_of
+from innsight.session import checkpoint
 from innsight.tables import Hotel
 
 
@@ -20,58 +21,95 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _label(columns: tuple[str, ...]) -> Column:
-    return F.lit(", ".join(columns))
+def _per_constraint(values: DataFrame, constraints: DataFrame) -> DataFrame:
+    """Repeated and missing values per constraint; ``values`` holds (restriccion, valor, n)."""
+    missing, repeated = F.col("valor").isNull(), F.col("valor").isNotNull() & (F.col("n") > 1)
+    found = values.groupBy("restriccion").agg(
+        F.count_if(repeated).alias("claves_repetidas"),
+        F.sum(F.when(repeated, F.col("n"))).alias("filas_repetidas"),
+        F.sum(F.when(missing, F.col("n"))).alias("filas_nulas"),
+    )
+    zero = F.lit(0).cast("long")
+    return constraints.join(found, "restriccion", "left").select(
+        "tabla",
+        "columnas",
+        *[F.coalesce(c, zero).alias(c) for c in ("claves_repetidas", "filas_repetidas")],
+        F.when(F.col("nulo_es_error"), F.coalesce("filas_nulas", zero)).otherwise(zero).alias("filas_nulas"),
+    )
 
 
-def _repeated(rows: DataFrame, table: str, columns: tuple[str, ...], null_is_error: bool) -> DataFrame:
-    """One row: how many key values repeat, in how many rows, and how many are NULL."""
-    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-    per_key = rows.groupBy(*columns).agg(F.count("*").alias("n"))
-    repeated = ~missing & (F.col("n") > 1)
-    zero = F.lit(0).cast("long")
-    return per_key.agg(
-        F.count_if(repeated).alias("claves_repetidas"),
-        F.coalesce(F.sum(F.when(repeated, F.col("n"))), zero).alias("filas_repetidas"),
-        (F.coalesce(F.sum(F.when(missing, F.col("n"))), zero) if null_is_error else zero).alias("filas_nulas"),
-    ).select(F.lit(table).alias("tabla"), _label(columns).alias("columnas"), "*")
+def _key_check(hotel: Hotel, keys: list[tuple[str, tuple[str, ...]]], null_is_error: bool) -> DataFrame:
+    """All keys in one pass: values of every key meet in a single pre-combined grouping."""
+    parts, listed = [], []
+    for number, (table, columns) in enumerate(keys):
+        if len(columns) == 1:
+            value = F.col(columns[0]).cast("string")
+        else:
+            # A length in front of each part keeps ("a", "bc") and ("ab", "c") apart.
+            text = [F.col(c).cast("string") for c in columns]
+            value = F.concat(*[piece for t in text for piece in (F.length(t).cast("string"), F.lit(":"), t)])
+        parts.append(hotel.table(table).select(F.lit(number).alias("restriccion"), value.alias("valor")))
+        listed.append((number, table, ", ".join(columns), null_is_error))
+    constraints = hotel.spark.createDataFrame(listed, "restriccion int, tabla string, columnas string, nulo_es_error boolean")
+    counted = _union(parts).groupBy("restriccion", "valor").agg(F.count("*").alias("n"))
+    return _per_constraint(counted, constraints)
 
 
 def primary_keys(hotel: Hotel) -> DataFrame:
     """One row per table: repeated and missing primary keys."""
-    return _union([_repeated(hotel.table(n), n, (TABLES[n].key,), True) for n in hotel.names()])
+    return _key_check(hotel, [(n, (TABLES[n].key,)) for n in hotel.names()], True)
 
 
 def unique_keys(hotel: Hotel) -> DataFrame:
     """One row per unique constraint; NULLs never clash."""
-    return _union(
-        [_repeated(hotel.table(n), n, cols, False) for n in hotel.names() for cols in TABLES[n].unique]
-    )
+    return _key_check(hotel, [(n, cols) for n in hotel.names() for cols in TABLES[n].unique], False)
 
 
 def foreign_keys(hotel: Hotel) -> DataFrame:
-    """One row per reference: orphaned values and the rows that hold them."""
-    parts = []
+    """One row per reference: orphaned values and the rows that hold them.
+
+    Every table is read once for all its references and once as a parent; the
+    values held, already counted, meet the parent keys in one join.
+    """
+    held, listed, number = [], [], 0
     for name in hotel.names():
+        pairs = []
         for ref in TABLES[name].references:
-            held = (
-                hotel.table(name)
-                .filter(F.col(ref.column).isNotNull())
-                .groupBy(F.col(ref.column).alias("valor"))
-                .agg(F.count("*").alias("n"))
-            )
-            parent = hotel.table(ref.parent).select(F.col(TABLES[ref.parent].key).alias("valor"))
-            parts.append(
-                held.join(parent, "valor", "left_anti")
-                .agg(
-                    F.count("*").alias("claves_huerfanas"),
-                    F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("filas_huerfanas"),
-                )
-                .select(
-                    F.lit(name).alias("tabla"), F.lit(ref.column).alias("columna"), F.lit(ref.parent).alias("padre"), "*"
+            pairs.append(
+                F.struct(
+                    F.lit(number).alias("referencia"), F.lit(ref.parent).alias("padre"), F.col(ref.column).alias("valor")
                 )
             )
-    return _union(parts)
+            listed.append((number, name, ref.column, ref.parent))
+            number += 1
+        if pairs:
+            held.append(hotel.table(name).select(F.explode(F.array(*pairs)).alias("x")).select("x.*"))
+    counted = (
+        _union(held)
+        .filter(F.col("valor").isNotNull())
+        .groupBy("referencia", "padre", "valor")
+        .agg(F.count("*").alias("n"))
+    )
+    parents = _union(
+        [
+            hotel.table(p).select(F.lit(p).alias("padre"), F.col(TABLES[p].key).alias("valor"))
+            for p in sorted({p for *_, p in listed})
+        ]
+    )
+    orphans = (
+        counted.join(parents, ["padre", "valor"], "left_anti")
+        .groupBy("referencia")
+        .agg(F.count("*").alias("claves"), F.sum("n").alias("filas"))
+    )
+    references = hotel.spark.createDataFrame(listed, "referencia int, tabla string, columna string, padre string")
+    zero = F.lit(0).cast("long")
+    return references.join(orphans, "referencia", "left").select(
+        "tabla",
+        "columna",
+        "padre",
+        F.coalesce("claves", zero).alias("claves_huerfanas"),
+        F.coalesce("filas", zero).alias("filas_huerfanas"),
+    )
 
 
 def _broken(rule: str) -> Column:
@@ -166,8 +204,10 @@ def cascade_delete(hotel: Hotel, name: str, keys: DataFrame) -> Deletion:
     A key that any restricting row still needs is refused as a whole.
     """
     key = TABLES[name].key
-    keys = keys.select(key).distinct().join(hotel.table(name).select(key), key, "left_semi")
+    keys = checkpoint(keys.select(key).distinct().join(hotel.table(name).select(key), key, "left_semi"))
     blocked = _blocked(hotel, name, keys)
+    if blocked is not None:
+        blocked = checkpoint(blocked)
     allowed = keys if blocked is None else keys.join(blocked.toDF(key), key, "left_anti")
     rejected = (
         keys.limit(0).withColumn("motivo", F.lit(""))
@@ -179,6 +219,7 @@ def cascade_delete(hotel: Hotel, name: str, keys: DataFrame) -> Deletion:
 
     def walk(table: str, gone: DataFrame) -> None:
         gone_key = TABLES[table].key
+        gone = checkpoint(gone)
         deleted[table] = gone if table not in deleted else deleted[table].unionByName(gone).distinct()
         for child, ref in children_of(table):
             if ref.on_delete == CASCADE:

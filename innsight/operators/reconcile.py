@@ -2,7 +2,9 @@
 
 Every ``rebuild_*`` returns the whole table with fresh values. ``audit`` compares
 the stored table with its rebuilt form and keeps only the keys that differ.
-Sums and counts are taken per key before they meet the table.
+Sums and counts are taken per key before they meet the table. Sums keep their
+own width, so one outsized booking cannot fail a run; storing a table checks the
+declared width of its columns.
 """
 
 from __future__ import annotations
@@ -13,9 +15,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions.expressions import MONEY, money
+from innsight.functions.expressions import SUM_MONEY, money
 from innsight.schemas import FACTOR_CON_IVA, TABLES, TASA_IVA
-from innsight.tables import Hotel
+from innsight.tables import Hotel, conform
 
 
 def _rate(text: str):
@@ -23,7 +25,7 @@ def _rate(text: str):
 
 
 def _zero():
-    return F.lit(0).cast("decimal(22,2)")
+    return F.lit(0).cast(SUM_MONEY)
 
 
 def _with(base: DataFrame, **fresh) -> DataFrame:
@@ -39,11 +41,11 @@ def rebuild_booking_totals(hotel: Hotel) -> DataFrame:
     )
     base = hotel.reservacion
     joined = base.join(rooms, "id_reservacion", "left").join(used, "id_reservacion", "left")
-    amount = (F.coalesce("_cuartos", _zero()) + F.coalesce("_consumos", _zero())).cast("decimal(22,2)")
+    amount = (F.coalesce("_cuartos", _zero()) + F.coalesce("_consumos", _zero())).cast(SUM_MONEY)
     return joined.select(
         *[c for c in base.columns if c not in ("subtotal", "total")],
-        amount.cast(MONEY).alias("subtotal"),
-        money(amount * _rate(FACTOR_CON_IVA)).alias("total"),
+        amount.alias("subtotal"),
+        F.round(amount * _rate(FACTOR_CON_IVA), 2).cast(SUM_MONEY).alias("total"),
     ).select(*base.columns)
 
 
@@ -57,8 +59,8 @@ def rebuild_account_totals(hotel: Hotel) -> DataFrame:
     joined = base.join(lines, "id_cuenta", "left")
     return joined.select(
         *[c for c in base.columns if c not in ("subtotal", "total")],
-        F.coalesce(money(F.col("_neto")), F.col("subtotal")).alias("subtotal"),
-        F.coalesce(money(F.col("_bruto")), F.col("total")).alias("total"),
+        F.coalesce(F.round("_neto", 2), F.col("subtotal")).cast(SUM_MONEY).alias("subtotal"),
+        F.coalesce(F.round("_bruto", 2), F.col("total")).cast(SUM_MONEY).alias("total"),
     ).select(*base.columns)
 
 
@@ -146,5 +148,5 @@ def audit(hotel: Hotel, name: str) -> DataFrame:
 def reconcile(hotel: Hotel) -> Hotel:
     """All rebuilds in dependency order: bookings, accounts, invoices, payments, counters, rooms."""
     for table, _, rebuild in REBUILDS.values():
-        hotel = hotel.replace(**{table: rebuild(hotel)})
+        hotel = hotel.replace(**{table: conform(rebuild(hotel), TABLES[table].struct)})
     return hotel

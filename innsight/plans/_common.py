@@ -23,7 +23,11 @@ def first_reason(*rules: tuple[str, Column]) -> Column:
 
 
 def split(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows without a ``motivo_rechazo``, and (request_id, motivo_rechazo) of the others."""
+    """Rows without a ``motivo_rechazo``, and (request_id, motivo_rechazo) of the others.
+
+    Appliers checkpoint what they pass here: every table of a ``Delta`` then
+    starts from the judged requests instead of judging them again.
+    """
     reason = F.col("motivo_rechazo")
     return judged.filter(reason.isNull()), judged.filter(reason.isNotNull()).select("request_id", "motivo_rechazo")
 

@@ -7,11 +7,12 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions import money, ntz
-from innsight.functions.expressions import MONEY
+from innsight.functions import ntz
+from innsight.functions.expressions import SUM_MONEY
 from innsight.plans._common import first_reason, known, mark_first, new_id, split
 from innsight.plans.rooms import move_rooms
 from innsight.schemas import DIAS_SIN_PENALIZACION, RESERVA_FINAL, TASA_PENALIZACION
+from innsight.session import checkpoint
 from innsight.tables import Delta, Hotel
 
 
@@ -38,7 +39,7 @@ def cancel(hotel: Hotel, requests: DataFrame, now: dt.datetime, strict_release:
             ),
         )
     )
-    candidates, refused = split(judged)
+    candidates, refused = split(checkpoint(judged))
     ranked = mark_first(candidates, "id_reservacion")
     late = ranked.filter(~F.col("es_primera")).select("request_id", F.lit("final_state").alias("motivo_rechazo"))
     accepted = ranked.filter("es_primera").withColumn("fecha_cancelacion", ntz(now))
@@ -61,8 +62,9 @@ def cancellation_effects(
     ).select("id_reservacion", "id_habitacion", "subtotal")
     amounts = booked.groupBy("id_reservacion").agg(F.sum("subtotal").alias("_suma"))
     notice = F.datediff("fecha_inicio", F.col("fecha_cancelacion").cast("date"))
-    nothing = F.lit(0).cast(MONEY)
-    penalty = money(F.coalesce(F.col("_suma"), nothing) * F.lit(TASA_PENALIZACION).cast("decimal(3,2)"))
+    nothing = F.lit(0).cast(SUM_MONEY)
+    share = F.coalesce(F.col("_suma").cast(SUM_MONEY), nothing) * F.lit(TASA_PENALIZACION).cast("decimal(3,2)")
+    penalty = F.round(share, 2).cast(SUM_MONEY)
     rows = cancellations.join(amounts, "id_reservacion", "left").select(
         new_id("cancelacion", "id_reservacion").alias("id_cancelacion"),
         "id_reservacion",

@@ -11,6 +11,7 @@ from innsight.functions import money, ntz
 from innsight.plans._common import first_reason, known, mark_first, new_id, split
 from innsight.plans.rooms import move_rooms
 from innsight.schemas import TASA_IVA
+from innsight.session import checkpoint
 from innsight.tables import Delta, Hotel
 
 
@@ -41,7 +42,7 @@ def checkout(hotel: Hotel, requests: DataFrame, now: dt.datetime, strict: bool =
             known(open_stays, "id_reservacion", "_abierta"), "id_reservacion", "left"
         )
         rules += [("no_open_stay", F.col("_abierta").isNull()), ("duplicate_request", ~F.col("es_primera"))]
-    accepted, rejected = split(judged.withColumn("motivo_rechazo", first_reason(*rules)))
+    accepted, rejected = split(checkpoint(judged.withColumn("motivo_rechazo", first_reason(*rules))))
 
     done = accepted.select("id_reservacion").distinct()
     closing = open_stays.join(done, "id_reservacion", "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from innsight.functions import ntz
 from innsight.plans._common import first_reason, known, mark_first, new_id, split
 from innsight.schemas import ESTADOS_HABITACION, HABITACION_ASIGNABLE
+from innsight.session import checkpoint
 from innsight.tables import Delta, Hotel
 
 
@@ -36,7 +37,7 @@ def previous_value(rows: DataFrame, key: str, order: list[str], value: str, buck
     )
 
 
-def room_state_log(events: DataFrame, bucket: str = "day") -> DataFrame:
+def room_state_log(events: DataFrame, bucket: str = "hour") -> DataFrame:
     """Real state changes of an ordered feed (request_id, id_habitacion, estado, fecha_hora).
 
     The first event of a room sets its state and logs nothing.
@@ -87,7 +88,7 @@ def move_rooms(hotel: Hotel, rooms: DataFrame, before: tuple[str, ...], after: s
     return Delta(inserts={"bitacora_habitacion": log}, updates={"habitacion": updated})
 
 
-def set_room_state(hotel: Hotel, requests: DataFrame, bucket: str = "day") -> Delta:
+def set_room_state(hotel: Hotel, requests: DataFrame, bucket: str = "hour") -> Delta:
     """Requests (request_id, arrival, id_habitacion, estado, id_empleado, id_reservacion).
 
     The last request per room decides its state; every step on the way is logged.
@@ -101,7 +102,7 @@ def set_room_state(hotel: Hotel, requests: DataFrame, bucket: str = "day") -> De
             ("unknown_room", F.col("estado_actual").isNull()),
         ),
     )
-    valid, rejected = split(judged)
+    valid, rejected = split(checkpoint(judged))
     chained = previous_value(
         valid, "id_habitacion", ["arrival", "request_id"], "estado", F.date_trunc(bucket, "arrival")
     )
@@ -156,7 +157,7 @@ def check_in(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> Delta:
             ),
         )
     )
-    candidates, refused = split(judged)
+    candidates, refused = split(checkpoint(judged))
     ranked = mark_first(candidates, "id_habitacion")
     accepted = ranked.filter("es_primera")
     late = ranked.filter(~F.col("es_primera")).select("request_id", F.lit("room_not_assignable").alias("motivo_rechazo"))

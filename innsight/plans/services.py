@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from innsight.functions import money, ntz
 from innsight.plans._common import first_reason, known, new_id, split
 from innsight.schemas import FACTOR_CON_IVA, RESERVA_CONSUME, TASA_IVA
+from innsight.session import checkpoint
 from innsight.tables import Delta, Hotel
 
 
@@ -39,7 +40,7 @@ def register_services(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> De
             ),
         )
     )
-    accepted, rejected = split(judged)
+    accepted, rejected = split(checkpoint(judged))
     used = accepted.select(
         new_id("consumo", "request_id").alias("id_consumo"),
         "id_reservacion",

@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.functions.expressions import MONEY, money
+from innsight.functions.expressions import MONEY, SUM_MONEY, money
 from innsight.schemas import METODOS_PAGO, ROLES_USUARIO
 from innsight.streaming._common import file_stream
 from innsight.tables import Hotel
@@ -308,13 +308,14 @@ class _Fixture:
         k = F.col("id_reservacion")
         rooms = self.reservacion_habitacion().groupBy("id_reservacion").agg(F.sum("subtotal").alias("suma"))
         cancelled = self.reservacion().filter(F.col("estado") == "cancelada")
-        penalty = money(F.coalesce(F.col("suma"), F.lit(0)) * F.lit("0.55").cast("decimal(3,2)"))
+        nothing = F.lit(0).cast(SUM_MONEY)
+        share = F.coalesce(F.col("suma").cast(SUM_MONEY), nothing) * F.lit("0.55").cast("decimal(3,2)")
         return cancelled.join(rooms, "id_reservacion", "left").select(
             k.alias("id_cancelacion"),
             k,
             (k % 10).alias("id_usuario"),
             F.concat(F.lit("Motivo "), (k % 8).cast("string")).alias("motivo"),
-            F.when(k % 5 < 3, penalty).otherwise(F.lit(0).cast(MONEY)).alias("penalizacion"),
+            F.when(k % 5 < 3, F.round(share, 2).cast(SUM_MONEY)).otherwise(nothing).alias("penalizacion"),
             _at(F.date_sub("fecha_inicio", (k * 3 % 10).cast("int")), "10:00").alias("fecha_cancelacion"),
         )
 

@@ -18,8 +18,7 @@ from innsight.functions.expressions import MONEY, money
 from innsight.operators.reconcile import reconcile
 from innsight.plans._common import first_reason
 from innsight.schemas import METODOS_PAGO, METODOS_RESERVA, ROLES_USUARIO, TABLES
-from innsight.sources.store import conform
-from innsight.tables import Hotel
+from innsight.tables import Hotel, conform
 
 ANCHOR = dt.date(2026, 5, 15)
 BLOCK = 50

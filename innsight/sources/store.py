@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from innsight.schemas import TABLES
-from innsight.tables import Delta, Hotel
+from innsight.tables import Delta, Hotel, conform
 
 _MANIFEST = "version long, tabla string, ruta string"
 
@@ -32,16 +31,6 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def conform(rows: DataFrame, struct: StructType) -> DataFrame:
-    """Columns in declared order and type; a column that is missing becomes NULL."""
-    return rows.select(
-        *[
-            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in struct
-        ]
-    )
-
-
 def write_hotel(hotel: Hotel, root: str) -> None:
     """Store every table of ``hotel`` as version 0."""
     parts = {name: [_write_part(hotel.table(name), root, name, 0)] for name in hotel.names()}

@@ -32,7 +32,7 @@ class RoomLog:
     spark: SparkSession
     root: str
     delay: dt.timedelta = dt.timedelta(hours=1)
-    bucket: str = "day"
+    bucket: str = "hour"
 
     def run(self, events: DataFrame) -> None:
         """Consume the available events (request_id, id_habitacion, estado, fecha_hora)."""

@@ -6,6 +6,8 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from innsight.schemas import TABLES
 
@@ -65,3 +67,13 @@ class Delta:
     inserts: dict[str, DataFrame] = field(default_factory=dict)
     updates: dict[str, DataFrame] = field(default_factory=dict)
     rejected: DataFrame | None = None
+
+
+def conform(rows: DataFrame, struct: StructType) -> DataFrame:
+    """Columns in declared order and type; a column that is missing becomes NULL."""
+    return rows.select(
+        *[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in struct
+        ]
+    )

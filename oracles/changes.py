@@ -161,7 +161,7 @@ CHANGES: dict[str, str] = {
         'Motivo ' || (a.id_reservacion % 8) AS motivo,
         CAST(CASE WHEN a.fecha_inicio - {HOY} < 7
              THEN round(coalesce((SELECT CAST(sum(subtotal) AS DECIMAL(22,2)) FROM reservacion_habitacion rh
-                  WHERE rh.id_reservacion = a.id_reservacion), 0) * 0.55, 2) ELSE 0 END AS DECIMAL(12,2)) AS penalizacion,
+                  WHERE rh.id_reservacion = a.id_reservacion), 0) * 0.55, 2) ELSE 0 END AS DECIMAL(22,2)) AS penalizacion,
         {AHORA} AS fecha_cancelacion FROM anulada a""",
     "p_f_cancel_rejected": """SELECT id_reservacion AS request_id, rechazo AS motivo_rechazo FROM anulable
         WHERE rechazo IS NOT NULL""",
