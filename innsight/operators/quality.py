@@ -7,7 +7,6 @@ a large share of a table travels as one row per task.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,11 @@ from innsight.tables import Hotel
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """Union by halves: each part is analysed a logarithmic number of times."""
+    if len(parts) == 1:
+        return parts[0]
+    middle = len(parts) // 2
+    return _union(parts[:middle]).unionByName(_union(parts[middle:]))
 
 
 def _per_constraint(values: DataFrame, constraints: DataFrame) -> DataFrame:
@@ -112,14 +115,10 @@ def foreign_keys(hotel: Hotel) -> DataFrame:
     )
 
 
-def _broken(rule: str) -> Column:
-    """A rule that evaluates to NULL passes."""
-    return ~F.coalesce(F.expr(rule), F.lit(True))
-
-
-def _rules(table: Table) -> list[tuple[str, str, Column]]:
-    checks = [("regla", name, _broken(rule)) for name, rule in table.checks]
-    return checks + [("obligatorio", c, F.col(c).isNull()) for c in table.required]
+def _rules(table: Table) -> list[tuple[str, str, str]]:
+    """(kind, name, condition of a broken row); a check that evaluates to NULL passes."""
+    checks = [("regla", name, f"NOT coalesce({rule}, true)") for name, rule in table.checks]
+    return checks + [("obligatorio", c, f"{c} IS NULL") for c in table.required]
 
 
 def row_rules(hotel: Hotel, only: str | None = None) -> DataFrame:
@@ -129,27 +128,21 @@ def row_rules(hotel: Hotel, only: str | None = None) -> DataFrame:
     """
     parts = []
     for name in hotel.names():
-        rules = [r for r in _rules(TABLES[name]) if only in (None, r[0])]
-        if not rules:
-            continue
-        counts = hotel.table(name).agg(
-            F.array(
-                *[
-                    F.struct(F.lit(kind).alias("clase"), F.lit(rule).alias("regla"), F.count_if(broken).alias("filas"))
-                    for kind, rule, broken in rules
-                ]
-            ).alias("r")
-        )
-        parts.append(
-            counts.select(F.lit(name).alias("tabla"), F.explode("r").alias("r")).select("tabla", "r.clase", "r.regla", "r.filas")
+        counts = ", ".join(
+            f"struct('{kind}' AS clase, '{rule}' AS regla, count_if({broken}) AS filas)"
+            for kind, rule, broken in _rules(TABLES[name])
+            if only in (None, kind)
         )
+        if counts:
+            found = hotel.table(name).selectExpr(f"inline(array({counts}))")
+            parts.append(found.select(F.lit(name).alias("tabla"), "*"))
     return _union(parts)
 
 
 def violating_rows(hotel: Hotel, name: str) -> DataFrame:
     """Rows of one table that break a rule, with the names of all rules they break."""
     broken = F.array_compact(
-        F.array(*[F.when(bad, F.lit(f"{kind}:{rule}")) for kind, rule, bad in _rules(TABLES[name])])
+        F.array(*[F.when(F.expr(bad), F.lit(f"{kind}:{rule}")) for kind, rule, bad in _rules(TABLES[name])])
     )
     return hotel.table(name).withColumn("reglas_rotas", broken).filter(F.size("reglas_rotas") > 0)
 

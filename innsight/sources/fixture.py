@@ -10,6 +10,7 @@ bonuses (line 7).
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +37,28 @@ def _at(day: Column, clock: str) -> Column:
     return day.cast("timestamp_ntz") + F.expr(f"interval '{clock}' hour to minute")
 
 
+def _once(build):
+    """Plan a derived table a single time, however many others are derived from it."""
+
+    @functools.wraps(build)
+    def planned(self, *args) -> DataFrame:
+        key = (build.__name__, *args)
+        if key not in self.planned:
+            self.planned[key] = build(self, *args)
+        return self.planned[key]
+
+    return planned
+
+
 class _Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str, hoy: dt.date, live: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.dir = sf_dir
         self.hoy = F.lit(hoy)
         self.live = live or {}
+        self.planned: dict[tuple, DataFrame] = {}
 
+    @_once
     def raw(self, name: str) -> DataFrame:
         """A source table, or the stream that stands in for it."""
         if name in self.live:
@@ -69,6 +85,7 @@ class _Fixture:
             .select("id_categoria", "nombre", F.lit(None).cast("string").alias("descripcion"), "precio_base")
         )
 
+    @_once
     def servicio(self) -> DataFrame:
         return self.raw("part").select(
             F.col("p_partkey").alias("id_servicio"),
@@ -186,6 +203,7 @@ class _Fixture:
             _pick(ROLES_USUARIO, i % 5).alias("rol"),
         )
 
+    @_once
     def evento_temporada(self) -> DataFrame:
         return (
             self.raw("orders")
@@ -224,6 +242,7 @@ class _Fixture:
 
     # --- bookings -------------------------------------------------------
 
+    @_once
     def reservacion(self) -> DataFrame:
         k = F.col("o_orderkey")
         payer = F.when(F.col("o_custkey") % 10 == 3, F.col("o_custkey") - 1).otherwise(F.col("o_custkey"))
@@ -262,6 +281,7 @@ class _Fixture:
         mix = F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_quantity").cast("long") * 7
         return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4096 + mix % 4096
 
+    @_once
     def reservacion_habitacion(self) -> DataFrame:
         nights = (F.col("l_orderkey") * 3 % 7 + 1).cast("int")
         rate = F.col("l_extendedprice").cast(MONEY)
@@ -279,6 +299,7 @@ class _Fixture:
             )
         )
 
+    @_once
     def _stays(self) -> DataFrame:
         """Bookings that became a stay, with the room they got."""
         room = (
@@ -290,6 +311,7 @@ class _Fixture:
         bookings = self.reservacion().filter(F.col("estado").isin("completada", "check_in"))
         return bookings.join(room, "id_reservacion")
 
+    @_once
     def estancia(self) -> DataFrame:
         k = F.col("id_reservacion")
         return self._stays().select(
@@ -332,6 +354,7 @@ class _Fixture:
             "total",
         )
 
+    @_once
     def factura(self) -> DataFrame:
         k = F.col("id_reservacion")
         return (
@@ -371,6 +394,7 @@ class _Fixture:
             .alias("estado"),
         )
 
+    @_once
     def consumo_servicio(self) -> DataFrame:
         bookings = (
             self.reservacion()
