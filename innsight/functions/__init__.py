@@ -12,6 +12,7 @@ from innsight.functions.expressions import (
     ntz,
     percentage,
     ratio,
+    text_key,
     total_money,
     vip_level,
     whole_days,
@@ -29,6 +30,7 @@ __all__ = [
     "ntz",
     "percentage",
     "ratio",
+    "text_key",
     "total_money",
     "vip_level",
     "whole_days",

@@ -20,6 +20,12 @@ def full_name(prefix: str = "") -> Column:
     return F.concat(F.col(f"{prefix}nombres"), F.lit(" "), F.col(f"{prefix}apellidos"))
 
 
+def text_key(column: str | Column, ci_ai: bool) -> Column:
+    """The text itself, or a form that ignores case and accents when compared."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.collate(c, "UNICODE_CI_AI") if ci_ai else c
+
+
 def half_open(column: str | Column, window: Window) -> Column:
     """``start <= column < end`` on the bare column, so it prunes row groups."""
     c = F.col(column) if isinstance(column, str) else column

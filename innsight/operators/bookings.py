@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions import half_open, percentage, ratio, total_money
+from innsight.functions import half_open, percentage, ratio, text_key, total_money
 from innsight.operators._common import guests, payers, room_categories
 from innsight.params import Params
 from innsight.schemas import RESERVA_POR_LLEGAR
@@ -107,9 +107,11 @@ def cancellations(hotel: Hotel, p: Params) -> DataFrame:
     )
 
 
-def repeat_cancellers(hotel: Hotel, minimum: int = 2) -> DataFrame:
+def repeat_cancellers(hotel: Hotel, minimum: int = 2, ci_ai: bool = False) -> DataFrame:
     """Every cancelled room of payers with more than ``minimum`` cancellations.
 
+    ``ci_ai`` sorts clients ignoring case and accents.
+
     Cancellations are counted before the booked rooms fan them out; the count
     and the payer's data meet as one row per payer.
     """
@@ -140,7 +142,7 @@ def repeat_cancellers(hotel: Hotel, minimum: int = 2) -> DataFrame:
             "fecha_cancelacion",
             "motivo",
         )
-        .orderBy(F.desc("total_cancelaciones"), "cliente", F.desc("fecha_cancelacion"), "id_reservacion")
+        .orderBy(F.desc("total_cancelaciones"), text_key("cliente", ci_ai), F.desc("fecha_cancelacion"), "id_reservacion")
     )
 
 
@@ -149,9 +151,7 @@ def bookings_by_country(hotel: Hotel, ci_ai: bool = False) -> DataFrame:
 
     ``ci_ai`` groups countries ignoring case and accents.
     """
-    country = F.col("pais_origen")
-    if ci_ai:
-        country = F.collate(country, "UNICODE_CI_AI")
+    country = text_key("pais_origen", ci_ai)
     total = hotel.reservacion.agg(F.count("*").alias("total")).scalar()
     per_guest = hotel.reservacion.groupBy("id_huesped").agg(F.count("*").alias("n"))
     return (
@@ -159,7 +159,7 @@ def bookings_by_country(hotel: Hotel, ci_ai: bool = False) -> DataFrame:
         .groupBy("pais")
         .agg(F.sum("n").alias("reservas"))
         .select(
-            F.coalesce(F.col("pais"), F.lit("(sin pais)")).alias("pais_origen"),
+            F.coalesce(F.col("pais").cast("string"), F.lit("(sin pais)")).alias("pais_origen"),
             "reservas",
             percentage(F.col("reservas"), total).alias("porcentaje_global"),
         )

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions import full_name, half_open, percentage, ratio
+from innsight.functions import full_name, half_open, percentage, ratio, text_key
 from innsight.params import Params
 from innsight.tables import Hotel
 
 
-def employee_bonuses(hotel: Hotel, p: Params) -> DataFrame:
-    """Active employees with last year's bonuses; those without any keep a zero."""
+def employee_bonuses(hotel: Hotel, p: Params, ci_ai: bool = False) -> DataFrame:
+    """Active employees with last year's bonuses; those without any keep a zero.
+
+    ``ci_ai`` sorts names ignoring case and accents.
+    """
     bonuses = (
         hotel.bono_empleado.filter(half_open("fecha_hora", p.last_year))
         .groupBy("id_empleado")
@@ -29,7 +32,7 @@ def employee_bonuses(hotel: Hotel, p: Params) -> DataFrame:
             F.coalesce("bonos", F.lit(0)).cast("long").alias("num_bonos"),
             F.coalesce("suma", F.lit(0).cast("decimal(22,2)")).alias("bono_acumulado"),
         )
-        .orderBy(F.desc("bono_acumulado"), "empleado", "id_empleado")
+        .orderBy(F.desc("bono_acumulado"), text_key("empleado", ci_ai), "id_empleado")
     )
 
 

@@ -324,6 +324,21 @@ _ALL = (
 
 TABLES: dict[str, Table] = {t.name: t for t in _ALL}
 
+# The date most reports of a fact table filter on; stored files are ordered by it.
+MAIN_DATE = {
+    "bono_empleado": "fecha_hora",
+    "reservacion": "fecha_inicio",
+    "estancia": "fecha_hora_checkin",
+    "cancelacion": "fecha_cancelacion",
+    "cuenta": "fecha_apertura",
+    "factura": "fecha_emision",
+    "pago": "fecha_pago",
+    "consumo_servicio": "fecha_hora",
+    "bitacora_habitacion": "fecha_hora",
+    "queja": "fecha_queja",
+    "satisfaccion": "fecha_satisfaccion",
+}
+
 
 def children_of(parent: str) -> list[tuple[Table, Reference]]:
     """Every (table, reference) pair that points at ``parent``."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.schemas import TABLES
+from innsight.schemas import MAIN_DATE, TABLES
 from innsight.tables import Delta, Hotel, conform
 
 _MANIFEST = "version long, tabla string, ruta string"
@@ -65,8 +65,17 @@ def read_hotel(spark: SparkSession, root: str) -> Hotel:
 
 
 def _write_part(rows: DataFrame, root: str, name: str, version: int, tag: str = "base") -> str:
+    """Write one part; facts lie in date order, so a report reads the row groups of its dates.
+
+    The key is part of the range: a date that holds a large share of the rows
+    still spreads over many files.
+    """
     part = f"{name}/v{version:08d}-{tag}"
-    conform(rows, TABLES[name].struct).write.mode("overwrite").parquet(f"{root}/{part}")
+    out = conform(rows, TABLES[name].struct)
+    if name in MAIN_DATE:
+        order = [MAIN_DATE[name], TABLES[name].key]
+        out = out.repartitionByRange(*order).sortWithinPartitions(*order)
+    out.write.mode("overwrite").parquet(f"{root}/{part}")
     return part
 
 
