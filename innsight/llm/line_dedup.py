@@ -92,7 +92,7 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps, counts = [], []
         for places in part.column(2):
             places = np.unique(places.values.to_numpy(zero_copy_only=False))
-            bits = np.ones(int(places[-1]) + 1, bool)
+            bits = np.ones(int(places[-1]) // 8 * 8 + 8, bool)  # whole bytes, the rest kept
             bits[places] = False
             maps.append(zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1))
             counts.append(len(places))
