@@ -14,19 +14,29 @@ import numpy as np
 _BLANKS = "".join(
     map(chr, [*range(0x9, 0xE), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
-_UNEVEN = re.compile(f" [ {_BLANKS}]|[{_BLANKS}] ")
+_UNEVEN = re.compile(f"[ \n][ {_BLANKS}]|[{_BLANKS}][ \n]")
 _SINGLE = re.compile(f"(?<=[^ {_BLANKS}]) (?=[^ {_BLANKS}])")
+_PLAIN = re.compile(f"\n?[^ {_BLANKS}]+")
+#: Marks that end a word without being part of its last token.
+_MARKS = ".,!?;:$%&*#"
 #: Words longer than this are encoded each time; so many others are remembered.
 LONGEST_REMEMBERED, REMEMBERED = 40, 700_000
 
 
 def words_of(text: str) -> list[str]:
-    """``text`` cut at its single blanks; the pieces joined by a blank are the text.
+    """``text`` cut before its single blanks and line feeds; the blanks are left out, the line feeds kept.
 
     A blank between two visible characters belongs to the word after it in the
-    byte-level pre-tokenizer, so no token spans such a cut.
+    byte-level pre-tokenizer, and a line feed there stands alone, so no token
+    spans such a cut.
     """
-    return _SINGLE.split(text) if _UNEVEN.search(text) else text.split(" ")
+    return _SINGLE.split(text) if _UNEVEN.search(text) else text.replace("\n", " \n").split(" ")
+
+
+def _bare(word: str) -> str:
+    """``word`` without the marks at its end, if a letter comes before them: there a token ends."""
+    core = word.rstrip(_MARKS)
+    return core if core and core[-1] < "\u0250" and core[-1].isalpha() else word
 
 
 def version_of(path: str) -> str:
@@ -72,10 +82,30 @@ class Encoder:
             and not (plan["model"].get("ignore_merges") or plan["model"].get("dropout"))
         )
         self._known: dict[str, bytes] = {}
+        # tokens that begin with the blank or the line feed, as byte-level vocabularies write them
+        names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+        self._begins = np.array([n[:1] in ("\u0120", "\u010a") for n in names])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(ids, dtype="<u4").tobytes() for ids in self._batch(texts)]
 
+    def _heads(self, heads: list[str]) -> dict[str, bytes]:
+        """Ids of words after a blank, or with their line feed; many are encoded as one text and told apart by their first token."""
+        found = {}
+        plain = [h for h in heads if _PLAIN.fullmatch(h)]
+        rest = [h for h in heads if not _PLAIN.fullmatch(h)]
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.asarray(self._batch(["".join(h if h[0] == "\n" else " " + h for h in some)])[0], dtype="<u4")
+            begins = np.flatnonzero(self._begins[ids])
+            if len(begins) != len(some):
+                rest += some
+                continue
+            raw, cuts = ids.tobytes(), [*(begins * 4).tolist(), 4 * len(ids)]
+            found.update((h, raw[a:b]) for h, a, b in zip(some, cuts, cuts[1:], strict=False))
+        found.update(zip(rest, self._whole([h if h[:1] == "\n" else " " + h for h in rest]), strict=True))
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; a null text counts as empty."""
         texts = [text or "" for text in texts]
@@ -85,15 +115,20 @@ class Encoder:
         known = self._known
         if len(known) > REMEMBERED:
             known.clear()
-        new = {w for words in cut if words for w in words[1:]}
-        new = [w for w in new if w not in known]
-        passing = {}
-        for word, ids in zip(new, self._whole([" " + w for w in new]), strict=True):
-            (known if len(word) <= LONGEST_REMEMBERED else passing)[word] = ids
-        look = (lambda w: known.get(w) or passing[w]) if passing else known.__getitem__
+        new = {w for words in cut if words for w in words[1:]}.difference(known)
+        bare = {w: _bare(w) for w in new}
+        heads = list(set(bare.values()).difference(known))
+        marks = list({w[len(b) :] for w, b in bare.items()})
+        known.update(self._heads(heads))
+        ends = dict(zip(marks, self._whole(marks), strict=True))
+        known.update([(w, known[b] + ends[w[len(b) :]]) for w, b in bare.items() if w != b])
+        look = known.__getitem__
         first = iter(self._whole([words[0] for words in cut if words]))
         whole = iter(self._whole([text for text, words in zip(texts, cut, strict=True) if not words]))
-        return [next(first) + b"".join(map(look, words[1:])) if words else next(whole) for words in cut]
+        found = [next(first) + b"".join(map(look, words[1:])) if words else next(whole) for words in cut]
+        for word in {w for w in (*new, *heads) if len(w) > LONGEST_REMEMBERED}:
+            del known[word]
+        return found
 
     def count(self, texts: list[str]) -> list[int]:
         return [len(ids) // 4 for ids in self.encode(texts)]
