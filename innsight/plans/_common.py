@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.functions import nights
@@ -32,6 +32,23 @@ def split(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter(reason.isNull()), judged.filter(reason.isNotNull()).select("request_id", "motivo_rechazo")
 
 
+def valid_range() -> Column:
+    """Whether the stay ends after it begins; a missing date makes it false."""
+    return F.coalesce(F.col("fecha_salida") > F.col("fecha_inicio"), F.lit(False))
+
+
+def dedupe_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The earliest row of each request id, and the repeats as ``duplicate_request``.
+
+    A request delivered twice is carried out once.
+    """
+    order = F.col("arrival").asc_nulls_last() if "arrival" in requests.columns else F.col("request_id")
+    turn = F.row_number().over(Window.partitionBy("request_id").orderBy(order))
+    counted = requests.withColumn("_vez", turn)
+    repeats = counted.filter("_vez > 1").select("request_id", F.lit("duplicate_request").alias("motivo_rechazo"))
+    return counted.filter("_vez = 1").drop("_vez"), repeats
+
+
 def known(df: DataFrame, column: str, flag: str) -> DataFrame:
     """The keys of ``df`` with a marker column, for a left join that tests existence."""
     return df.select(column).distinct().withColumn(flag, F.lit(True))

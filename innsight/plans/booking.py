@@ -9,7 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.functions import money, nights
-from innsight.plans._common import ROOM_NIGHT, arrival_order, first_reason, held_room_nights, known, new_id, split
+from innsight.plans._common import (
+    ROOM_NIGHT,
+    arrival_order,
+    dedupe_requests,
+    first_reason,
+    held_room_nights,
+    known,
+    new_id,
+    split,
+    valid_range,
+)
 from innsight.plans.vip import count_bookings
 from innsight.schemas import FACTOR_CON_IVA, HABITACION_INACTIVA, METODOS_RESERVA, RESERVA_POR_LLEGAR
 from innsight.session import checkpoint
@@ -22,7 +32,7 @@ def validate_booking_dates(bookings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bookings that end after they begin, and the refused others."""
     return split(
         bookings.withColumn(
-            "motivo_rechazo", first_reason(("invalid_range", F.col("fecha_salida") <= F.col("fecha_inicio")))
+            "motivo_rechazo", first_reason(("invalid_range", ~valid_range()))
         )
     )
 
@@ -42,7 +52,7 @@ def _judge_availability(hotel: Hotel, requests: DataFrame) -> DataFrame:
     Equal requests are tested once; a test asks whether one of the room-nights
     wanted is held, so no pair of intervals is ever formed.
     """
-    spans = requests.filter(F.col("fecha_salida") > F.col("fecha_inicio")).select(*SPAN).distinct()
+    spans = requests.filter(valid_range()).select(*SPAN).distinct()
     taken = (
         spans.withColumn("noche", F.explode(nights("fecha_inicio", "fecha_salida")))
         .join(held_room_nights(hotel, spans), ROOM_NIGHT, "left_semi")
@@ -58,7 +68,7 @@ def _judge_availability(hotel: Hotel, requests: DataFrame) -> DataFrame:
         .withColumn(
             "motivo_rechazo",
             first_reason(
-                ("invalid_range", F.col("fecha_salida") <= F.col("fecha_inicio")),
+                ("invalid_range", ~valid_range()),
                 ("unknown_room", F.col("_estado").isNull()),
             ),
         )
@@ -73,11 +83,11 @@ def first_come(requests: DataFrame) -> DataFrame:
     A request is granted when no earlier granted request shares one of its
     room-nights. Each round grants the requests that are earliest on all of
     their nights and retires those that share a night with them; what is left
-    goes to the next round. Rounds end when nothing is left: at least one
+    goes to the next round. A request without nights is never granted. Rounds end when nothing is left: at least one
     request per contested room is decided in each, and under random arrival
     their number grows with the logarithm of the batch.
     """
-    pending = checkpoint(requests.select("request_id", "arrival", *SPAN))
+    pending = checkpoint(requests.filter(valid_range()).select("request_id", "arrival", *SPAN))
     granted = []
     while not pending.isEmpty():
         wanted = pending.select(
@@ -112,6 +122,7 @@ def book(hotel: Hotel, requests: DataFrame) -> Delta:
     Granted requests become a confirmed booking with one room at today's price
     and move the payer's counters.
     """
+    requests, repeats = dedupe_requests(requests)
     judged = (
         _judge_availability(hotel, requests)
         .withColumnRenamed("motivo_rechazo", "_previo")
@@ -161,9 +172,8 @@ def book(hotel: Hotel, requests: DataFrame) -> Delta:
         "subtotal",
     )
     counters = count_bookings(hotel, bookings)
-    return Delta(
-        {"reservacion": bookings, "reservacion_habitacion": rooms}, counters.updates, refused.unionByName(late)
-    )
+    rejected = refused.unionByName(late).unionByName(repeats)
+    return Delta({"reservacion": bookings, "reservacion_habitacion": rooms}, counters.updates, rejected)
 
 
 def expire_bookings(hotel: Hotel, today: dt.date) -> Delta:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from innsight.functions import ntz
 from innsight.functions.expressions import SUM_MONEY
-from innsight.plans._common import first_reason, known, mark_first, new_id, split
+from innsight.plans._common import dedupe_requests, first_reason, known, mark_first, new_id, split
 from innsight.plans.rooms import move_rooms
 from innsight.schemas import DIAS_SIN_PENALIZACION, RESERVA_FINAL, TASA_PENALIZACION
 from innsight.session import checkpoint
@@ -22,6 +22,7 @@ def cancel(hotel: Hotel, requests: DataFrame, now: dt.datetime, strict_release:
     Of several requests for one booking the earliest counts; the booking is in a
     final state for the others.
     """
+    requests, repeats = dedupe_requests(requests)
     bookings = hotel.reservacion.select("id_reservacion", "fecha_inicio", F.col("estado").alias("_estado"))
     judged = (
         requests.select("request_id", "arrival", "id_reservacion", "id_usuario", "motivo")
@@ -44,7 +45,7 @@ def cancel(hotel: Hotel, requests: DataFrame, now: dt.datetime, strict_release:
     late = ranked.filter(~F.col("es_primera")).select("request_id", F.lit("final_state").alias("motivo_rechazo"))
     accepted = ranked.filter("es_primera").withColumn("fecha_cancelacion", ntz(now))
     effects = cancellation_effects(hotel, accepted, now, strict_release)
-    return Delta(effects.inserts, effects.updates, refused.unionByName(late))
+    return Delta(effects.inserts, effects.updates, refused.unionByName(late).unionByName(repeats))
 
 
 def cancellation_effects(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.functions import money, ntz
-from innsight.plans._common import first_reason, known, mark_first, new_id, split
+from innsight.plans._common import dedupe_requests, first_reason, known, mark_first, new_id, split
 from innsight.plans.rooms import move_rooms
 from innsight.schemas import TASA_IVA
 from innsight.session import checkpoint
@@ -21,6 +21,7 @@ def checkout(hotel: Hotel, requests: DataFrame, now: dt.datetime, strict: bool =
     An account may be invoiced again; ``strict`` refuses bookings without an
     open stay and all but the earliest request for a booking.
     """
+    requests, repeats = dedupe_requests(requests)
     today = F.lit(now.date())
     accounts = hotel.cuenta.select("id_reservacion", "id_cuenta", "fecha_apertura", "fecha_cierre", "subtotal", "total")
     bookings = hotel.reservacion.select("id_reservacion", "id_huesped_facturador")
@@ -82,5 +83,5 @@ def checkout(hotel: Hotel, requests: DataFrame, now: dt.datetime, strict: bool =
     return Delta(
         {"factura": invoices, "pago": payments, **released.inserts},
         {"estancia": stays, "cuenta": closed, "reservacion": completed, **released.updates},
-        rejected,
+        rejected.unionByName(repeats),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.functions import ntz
-from innsight.plans._common import first_reason, known, mark_first, new_id, split
+from innsight.plans._common import dedupe_requests, first_reason, known, mark_first, new_id, split
 from innsight.schemas import ESTADOS_HABITACION, HABITACION_ASIGNABLE
 from innsight.session import checkpoint
 from innsight.tables import Delta, Hotel
@@ -92,14 +92,17 @@ def set_room_state(hotel: Hotel, requests: DataFrame, bucket: str = "hour") -> D
     """Requests (request_id, arrival, id_habitacion, estado, id_empleado, id_reservacion).
 
     The last request per room decides its state; every step on the way is logged.
-    A request for an unknown room changes nothing and is refused.
+    A request for an unknown room or without an arrival time changes nothing
+    and is refused.
     """
+    requests, repeats = dedupe_requests(requests)
     rooms = hotel.habitacion.select("id_habitacion", F.col("estado").alias("estado_actual"))
     judged = requests.join(rooms, "id_habitacion", "left").withColumn(
         "motivo_rechazo",
         first_reason(
             ("invalid_state", ~F.coalesce(F.col("estado").isin(*ESTADOS_HABITACION), F.lit(False))),
             ("unknown_room", F.col("estado_actual").isNull()),
+            ("missing_arrival", F.col("arrival").isNull()),
         ),
     )
     valid, rejected = split(checkpoint(judged))
@@ -129,7 +132,7 @@ def set_room_state(hotel: Hotel, requests: DataFrame, bucket: str = "hour") -> D
         .withColumn("estado", F.col("_nuevo"))
         .select(*hotel.habitacion.columns)
     )
-    return Delta({"bitacora_habitacion": log}, {"habitacion": updated}, rejected)
+    return Delta({"bitacora_habitacion": log}, {"habitacion": updated}, rejected.unionByName(repeats))
 
 
 def check_in(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> Delta:
@@ -138,6 +141,7 @@ def check_in(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> Delta:
     A room takes one check-in: it must be assignable, and the earliest request
     of the batch makes it ocupada for the others.
     """
+    requests, repeats = dedupe_requests(requests)
     rooms = hotel.habitacion.select("id_habitacion", "estado")
     bookings = hotel.reservacion.select("id_reservacion", F.col("fecha_salida").alias("_salida"))
     staff = known(hotel.empleado, "id_empleado", "_empleado")
@@ -171,4 +175,4 @@ def check_in(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> Delta:
         F.lit(None).cast("timestamp_ntz").alias("fecha_hora_checkout_real"),
     )
     moved = move_rooms(hotel, accepted, HABITACION_ASIGNABLE, "ocupada", ntz(now))
-    return Delta({"estancia": stays, **moved.inserts}, moved.updates, refused.unionByName(late))
+    return Delta({"estancia": stays, **moved.inserts}, moved.updates, refused.unionByName(late).unionByName(repeats))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.functions import money, ntz
-from innsight.plans._common import first_reason, known, new_id, split
+from innsight.plans._common import dedupe_requests, first_reason, known, new_id, split
 from innsight.schemas import FACTOR_CON_IVA, RESERVA_CONSUME, TASA_IVA
 from innsight.session import checkpoint
 from innsight.tables import Delta, Hotel
@@ -21,6 +21,7 @@ def register_services(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> De
     open or closed, also gets an account line; account totals are left to
     ``rebuild_account_totals``.
     """
+    requests, repeats = dedupe_requests(requests)
     catalogue = hotel.servicio.select("id_servicio", "nombre_servicio", "precio", "disponible")
     bookings = hotel.reservacion.select("id_reservacion", "id_huesped", F.col("estado").alias("_estado"))
     judged = (
@@ -63,7 +64,7 @@ def register_services(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> De
         money(gross * F.lit(TASA_IVA).cast("decimal(3,2)")).alias("impuesto"),
         money(gross * F.lit(FACTOR_CON_IVA).cast("decimal(3,2)")).alias("importe"),
     )
-    return Delta({"consumo_servicio": used, "detalle_cuenta": lines}, rejected=rejected)
+    return Delta({"consumo_servicio": used, "detalle_cuenta": lines}, rejected=rejected.unionByName(repeats))
 
 
 def validate_service_prices(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -40,15 +40,21 @@ def write_hotel(hotel: Hotel, root: str) -> None:
 def commit(hotel: Hotel, delta: Delta, root: str) -> Hotel:
     """Store ``delta`` on top of the hotel kept in ``root`` and return the new version.
 
-    Inserts add a part and rewrite nothing; updates rewrite their table.
+    Inserts add a part and rewrite nothing; updates rewrite their table. Both
+    meet the tables as stored now, whatever version ``hotel`` was read from, so
+    an earlier commit keeps its rows and a retried one adds none twice. Commits
+    come one after the other: two at the same moment are not told apart.
     """
     spark = hotel.spark
+    stored = read_hotel(spark, root)
     version, parts = _read_manifest(spark, root)
     version += 1
     for name, rows in delta.updates.items():
-        whole = upsert(hotel.table(name), conform(rows, TABLES[name].struct), TABLES[name].key)
+        whole = upsert(stored.table(name), conform(rows, TABLES[name].struct), TABLES[name].key)
         parts[name] = [_write_part(whole, root, name, version)]
     for name, rows in delta.inserts.items():
+        if name in stored.names():
+            rows = insert_if_absent(stored.table(name), rows, TABLES[name].key)
         parts[name] = [*parts.get(name, []), _write_part(rows, root, name, version, "nuevo")]
     _write_manifest(spark, root, version, parts)
     return read_hotel(spark, root)

@@ -16,6 +16,7 @@ from innsight.sources.generator import ANCHOR, generate
 
 NOW = dt.datetime(2026, 5, 15, 11)
 T0 = dt.datetime(2026, 1, 1)
+REQUEST_SPAN = ["id_habitacion", "fecha_inicio", "fecha_salida"]
 REQUEST = "request_id long, arrival timestamp_ntz, id_habitacion long, fecha_inicio date, fecha_salida date"
 
 
@@ -111,6 +112,33 @@ def test_book_reasons_and_money(spark, seed):
     assert again.inserts["reservacion"].count() == 0
 
 
+def test_requests_without_dates_are_refused(spark, seed):
+    open_ended = booking_requests(spark, [(1, 1, day(200), None, "internet"), (1, 1, None, day(200), "internet")])
+    delta = plans.book(seed, open_ended)
+    assert {r.motivo_rechazo for r in delta.rejected.collect()} == {"invalid_range"} and delta.rejected.count() == 2
+    assert delta.inserts["reservacion"].count() == 0
+    assert plans.first_come(open_ended.select("request_id", "arrival", *REQUEST_SPAN)).count() == 0
+    assert plans.check_availability(seed, open_ended).filter("disponible IS NULL").count() == 2
+    assert plans.validate_booking_dates(open_ended)[0].count() == 0
+
+
+def test_a_request_delivered_twice_is_done_once(spark, seed):
+    booking = booking_requests(spark, [(1, 1, day(200), day(203), "internet")])
+    delta = plans.book(seed, booking.union(booking))
+    assert delta.inserts["reservacion"].count() == 1 and delta.inserts["reservacion_habitacion"].count() == 1
+    assert [r.motivo_rechazo for r in delta.rejected.collect()] == ["duplicate_request"]
+    leaving = followups(spark, [101])
+    bill = plans.checkout(seed, leaving.union(leaving), NOW)
+    assert bill.inserts["factura"].count() == 1 and bill.rejected.count() == 1
+    state = spark.createDataFrame(
+        [(1, T0, 1, "limpieza", 1, None), (1, T0, 1, "limpieza", 1, None), (2, None, 1, "limpieza", 1, None)],
+        "request_id long, arrival timestamp_ntz, id_habitacion long, estado string, id_empleado long, id_reservacion long",
+    )
+    moved = plans.set_room_state(seed, state)
+    assert moved.inserts["bitacora_habitacion"].count() == 1
+    assert dict(rows_of(moved.rejected, "request_id", "motivo_rechazo")) == {1: "duplicate_request", 2: "missing_arrival"}
+
+
 def test_booking_a_batch_leaves_no_overlap(spark, seed):
     rng = random.Random(7)
     spans = []

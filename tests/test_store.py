@@ -52,6 +52,15 @@ def test_commit(spark, seed, tmp_path):
     assert hotel.factura.count() == 50 and read_hotel(spark, root).factura.count() == 51
     commit(after, Delta(inserts={"factura": delta.inserts["factura"].withColumn("id_factura", F.lit(9999).cast("long"))}), root)
     assert read_hotel(spark, root).factura.count() == 52
+    # a retry adds nothing, and a commit from an old reader keeps what others stored
+    commit(hotel, delta, root)
+    assert read_hotel(spark, root).factura.count() == 52
+    room = hotel.habitacion.filter("id_habitacion = 50").withColumn("estado", F.lit("mantenimiento"))
+    other = hotel.habitacion.filter("id_habitacion = 49").withColumn("estado", F.lit("bloqueada"))
+    commit(hotel, Delta(updates={"habitacion": room}), root)
+    last = commit(hotel, Delta(updates={"habitacion": other}), root)
+    states = {r.id_habitacion: r.estado for r in last.habitacion.filter("id_habitacion >= 49").collect()}
+    assert states[50] == "mantenimiento" and states[49] == "bloqueada"
 
 
 def test_keyed_writes(spark, tmp_path):
