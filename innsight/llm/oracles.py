@@ -29,17 +29,20 @@ FROM maximal m JOIN turns t USING (conv_id)
 GROUP BY m.conv_id, (t.pos - 1) // 128, m.n_turns, m.n_snapshots
 """
 
-#: Connected components by repeated least neighbours; fit for the small table that it is compared on.
-NEAR = f"""
+
+
+def _reach(width: int, columns: str) -> str:
+    """Connected components by repeated least neighbours; fit for the small table that it is compared on."""
+    return f"""
 WITH RECURSIVE words AS (
     SELECT doc_id,
            list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                       'abcdefghijklmnopqrstuvwxyz'), '{_BLANKS}+'), x -> x <> '') AS w
+                       'abcdefghijklmnopqrstuvwxyz'), '{_BLANKS}+'), lambda x: x <> '') AS w
     FROM documents
 ), sets AS (
     SELECT doc_id, CASE WHEN len(w) = 0 THEN []
-        WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+        WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' '))) END AS s
     FROM words
 ), single AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
 links AS (
@@ -52,10 +55,14 @@ links AS (
     UNION
     SELECT r.doc_id, l.v FROM reach r JOIN links l ON r.other = l.u
 ), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
-SELECT s.doc_id, len(s.s) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
+SELECT s.doc_id, len(s.s) AS n_shingles, l.component_id{columns}
 FROM sets s JOIN least l USING (doc_id)
 """
 
+
+NEAR = _reach(5, ", s.doc_id = l.component_id AS kept")
+JACCARD = _reach(4, "")
+
 #: Keys of ten code points or more that two documents hold lose their lines outside the first.
 LINES = f"""
 WITH lines AS (
@@ -77,4 +84,4 @@ FROM judged GROUP BY doc_id
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT, "op9_near_duplicates": NEAR, "op10_line_dedup": LINES}
+    return {"op2_chat_formatting": CHAT, "op9_near_duplicates": NEAR, "op10_line_dedup": LINES, "op13_jaccard_join": JACCARD}

@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from innsight.llm import chat, decontaminate, language, licences, line_dedup, near_dup, packing, quality, sharding
-from innsight.llm import token_counts
+from innsight.llm import alignment, chat, decontaminate, jaccard_join, language, licences, line_dedup, near_dup
+from innsight.llm import packing, quality, repair, sharding, token_counts
 from innsight.llm._work import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokenizer_path("piece_bpe_32k.model")
+    return alignment.align_tokenizers(_read(spark, sf_dir, "documents"), tokenizer_path(), pieces)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1,
@@ -49,6 +54,9 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8,
         "op9_near_duplicates": lambda s, d: near_dup.near_duplicates(_read(s, d, "documents")),
         "op10_line_dedup": lambda s, d: line_dedup.line_report(_read(s, d, "documents")),
+        "op11_tokenizer_alignment": op11,
+        "op12_conversation_repair": lambda s, d: repair.repair_conversations(_read(s, d, "conversations")),
+        "op13_jaccard_join": lambda s, d: jaccard_join.join_documents(_read(s, d, "documents")),
     }
 
 
