@@ -16,6 +16,8 @@ from innsight.llm.near_dup import shingle_hashes
 
 #: Fragments that the global order is cut into.
 FRAGMENTS = 4
+#: The lowest hashes of a set that are looked at first: so many times what a similar set may lack, and one.
+REGION = 2
 #: A block of so many members is finished by comparing each with each, times the round's pivots.
 SMALL_BLOCK = 8
 #: By how much the pivots of a block grow from round to round.
@@ -28,9 +30,9 @@ def _listed(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
 
 
-def probe_length(size: int, percent: int) -> int:
-    """How many n-grams of a set, in any fixed order, must be looked at to meet every similar enough set."""
-    return size - -(-size * percent // 100) + 1
+def spare(size: int, percent: int) -> int:
+    """How many n-grams of a set a similar enough set may lack."""
+    return size - -(-size * percent // 100)
 
 
 def _digested(width: int, percent: int):
@@ -39,7 +41,7 @@ def _digested(width: int, percent: int):
             found = [shingle_hashes(t, width) for t in part.column(2).to_pylist()]
             sizes = [len(x) for x in found]
             digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in found]
-            lowest = [x[: probe_length(len(x), percent)].view(np.int64) if len(x) else x.view(np.int64) for x in found]
+            lowest = [x[: REGION * spare(len(x), percent) + 1].view(np.int64) for x in found]
             arrays = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _listed(lowest)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), *arrays], ["_id", "_txt", "size", "digest", "lowest"]
@@ -62,6 +64,18 @@ def _in_company(posted: DataFrame) -> DataFrame:
     return posted.join(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
 
 
+def promising(classes: DataFrame, percent: int) -> DataFrame:
+    """``cid`` of the classes that can have a similar one, by their lowest hashes.
+
+    Of any part of a set a similar set lacks at most ``spare`` n-grams; so all
+    others of its lowest ones must be held by some other class. A text that only
+    has a passage in common with others fails that.
+    """
+    posted = classes.select("cid", "size", F.size("lowest").alias("looked"), F.explode("lowest").alias("key"))
+    met = _in_company(posted).groupBy("cid", "size", "looked").agg(F.count(F.lit(1)).alias("shared"))
+    return met.filter(f"shared >= looked - (size - (size * {percent} + 99) div 100)").select("cid")
+
+
 def ordered_sets(sets: DataFrame) -> DataFrame:
     """``cid, size, grams`` with the n-grams that two sets or more hold, from rare to frequent.
 
@@ -191,9 +205,8 @@ def join_documents(
 
     Documents are linked if the Jaccard similarity of their sets of ``width``-word
     shingles is ``percent`` hundredths or more. Equal sets are one class from the
-    start, so copies are never paired. Sets that share no shingle among their
-    lowest hashes with any other resemble none and are left out. The others are
-    put in the global order, rare shingles first. Sets meet under the first
+    start, so copies are never paired. Sets whose lowest hashes show that they
+    resemble no other are left out (``promising``). The others are put in the global order, rare shingles first. Sets meet under the first
     shingle that they share (``blocks_of``, ``linked``); the global order is cut
     into ``fragments``, each set's segments are laid side by side per fragment,
     and the partial overlaps of a pair are summed (``similar``).
@@ -217,13 +230,13 @@ def join_documents(
             F.count(F.lit(1)).alias("copies"),
             F.min("_id").alias("least"),
             F.min(F.struct("_txt", "_id")).alias("holder"),
+            F.first("size").alias("size"),
             F.first("lowest").alias("lowest"),
         )
         .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = stored(classes, "classes")
-    met = _in_company(classes.select("cid", F.explode("lowest").alias("key"))).select("cid").distinct()
-    holders = classes.join(met, "cid", "left_semi").select("cid", "holder._txt", F.col("holder._id").alias("_held"))
+    holders = classes.join(promising(classes, percent), "cid", "left_semi").select("cid", "holder._txt", F.col("holder._id").alias("_held"))
     texts = rows.join(holders, "_txt").filter(F.col("_id").eqNullSafe(F.col("_held"))).select("cid", "_text")
     sets = texts.mapInArrow(_gathered(width), "cid long, grams array<long>")
     sets = stored(sets.groupBy("cid").agg(F.first("grams").alias("grams")), "sets")
