@@ -18,6 +18,8 @@ from innsight.llm.near_dup import shingle_hashes
 FRAGMENTS = 4
 #: The lowest hashes of a set that are looked at first: so many times what a similar set may lack, and one.
 REGION = 2
+#: Bits of a hash that are posted for that, and digests that a task remembers.
+KEY_BITS, REMEMBERED = 48, 100_000
 #: A block of so many members is finished by comparing each with each, times the round's pivots.
 SMALL_BLOCK = 8
 #: By how much the pivots of a block grow from round to round.
@@ -36,12 +38,22 @@ def spare(size: int, percent: int) -> int:
 
 
 def _digested(width: int, percent: int):
+    """Size and digest of each row's set, and its lowest hashes unless the task has just given those of an equal set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for part in slices(batches, 256):
-            found = [shingle_hashes(t, width) for t in part.column(2).to_pylist()]
-            sizes = [len(x) for x in found]
-            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in found]
-            lowest = [x[: REGION * spare(len(x), percent) + 1].view(np.int64) for x in found]
+            sizes, digests, lowest = [], [], []
+            for text in part.column(2).to_pylist():
+                found = shingle_hashes(text, width)
+                digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+                looked = 0 if digest is None or digest in seen else REGION * spare(len(found), percent) + 1
+                seen.add(digest)
+                sizes.append(len(found))
+                digests.append(digest)
+                lowest.append((found[:looked] >> np.uint64(64 - KEY_BITS)).view(np.int64))
+            if len(seen) > REMEMBERED:
+                seen.clear()
             arrays = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _listed(lowest)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), *arrays], ["_id", "_txt", "size", "digest", "lowest"]
@@ -64,16 +76,25 @@ def _in_company(posted: DataFrame) -> DataFrame:
     return posted.join(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
 
 
-def promising(classes: DataFrame, percent: int) -> DataFrame:
-    """``cid`` of the classes that can have a similar one, by their lowest hashes.
+def promising(digested: DataFrame, percent: int) -> DataFrame:
+    """``digest`` of the sets that can have a similar one, by their lowest hashes.
 
     Of any part of a set a similar set lacks at most ``spare`` n-grams; so all
-    others of its lowest ones must be held by some other class. A text that only
-    has a passage in common with others fails that.
+    others of its lowest ones must be held by some other row. A text that only
+    has a passage in common with others fails that. Keys are the upper bits of
+    the hashes: two that coincide, or two rows with equal sets, let a set pass
+    that resembles none, which costs time only.
     """
-    posted = classes.select("cid", "size", F.size("lowest").alias("looked"), F.explode("lowest").alias("key"))
-    met = _in_company(posted).groupBy("cid", "size", "looked").agg(F.count(F.lit(1)).alias("shared"))
-    return met.filter(f"shared >= looked - (size - (size * {percent} + 99) div 100)").select("cid")
+    posted = digested.select("row", F.explode("lowest").alias("key"))
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    met = posted.join(shared, "key").groupBy("row").agg(F.count(F.lit(1)).alias("shared"))
+    return (
+        digested.select("row", "digest", "size", F.size("lowest").alias("looked"))
+        .join(met, "row")
+        .filter(f"shared >= looked - (size - (size * {percent} + 99) div 100)")
+        .select("digest")
+        .distinct()
+    )
 
 
 def ordered_sets(sets: DataFrame) -> DataFrame:
@@ -222,7 +243,8 @@ def join_documents(
         F.col(id_column).alias("_id"), F.xxhash64(text_column).alias("_txt"), F.col(text_column).alias("_text")
     )
     ddl = f"_id {kind}, _txt long, size long, digest binary, lowest array<long>"
-    digested = stored(rows.mapInArrow(_digested(width, percent), ddl), "digests")
+    digested = rows.mapInArrow(_digested(width, percent), ddl).withColumn("row", F.monotonically_increasing_id())
+    digested = stored(digested, "digests")
     classes = (
         digested.filter("size > 0")
         .groupBy("digest")
@@ -230,13 +252,11 @@ def join_documents(
             F.count(F.lit(1)).alias("copies"),
             F.min("_id").alias("least"),
             F.min(F.struct("_txt", "_id")).alias("holder"),
-            F.first("size").alias("size"),
-            F.first("lowest").alias("lowest"),
         )
         .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = stored(classes, "classes")
-    holders = classes.join(promising(classes, percent), "cid", "left_semi").select("cid", "holder._txt", F.col("holder._id").alias("_held"))
+    holders = classes.join(promising(digested, percent), "digest", "left_semi").select("cid", "holder._txt", F.col("holder._id").alias("_held"))
     texts = rows.join(holders, "_txt").filter(F.col("_id").eqNullSafe(F.col("_held"))).select("cid", "_text")
     sets = texts.mapInArrow(_gathered(width), "cid long, grams array<long>")
     sets = stored(sets.groupBy("cid").agg(F.first("grams").alias("grams")), "sets")
