@@ -76,6 +76,21 @@ def _in_company(posted: DataFrame) -> DataFrame:
     return posted.join(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``row`` of the entries, sorted by ``key``, whose key has another entry."""
+    key, row, repeated = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    for batch in batches:
+        # the last entry waits for the one after it
+        key, row = np.r_[key[-1:], batch.column(0).to_numpy()], np.r_[row[-1:], batch.column(1).to_numpy()]
+        same, waiting = key[1:] == key[:-1], repeated[-1:]
+        repeated = np.zeros(len(key), bool)
+        repeated[: len(waiting)] = waiting
+        repeated[1:] |= same
+        repeated[:-1] |= same
+        yield pa.RecordBatch.from_arrays([pa.array(row[:-1][repeated[:-1]])], ["row"])
+    yield pa.RecordBatch.from_arrays([pa.array(row[-1:][repeated[-1:]])], ["row"])
+
+
 def promising(digested: DataFrame, percent: int) -> DataFrame:
     """``digest`` of the sets that can have a similar one, by their lowest hashes.
 
@@ -85,9 +100,8 @@ def promising(digested: DataFrame, percent: int) -> DataFrame:
     the hashes: two that coincide, or two rows with equal sets, let a set pass
     that resembles none, which costs time only.
     """
-    posted = digested.select("row", F.explode("lowest").alias("key"))
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    met = posted.join(shared, "key").groupBy("row").agg(F.count(F.lit(1)).alias("shared"))
+    posted = digested.select(F.explode("lowest").alias("key"), "row").repartition("key").sortWithinPartitions("key")
+    met = posted.mapInArrow(_repeated, "row long").groupBy("row").agg(F.count(F.lit(1)).alias("shared"))
     return (
         digested.select("row", "digest", "size", F.size("lowest").alias("looked"))
         .join(met, "row")
@@ -102,14 +116,15 @@ def ordered_sets(sets: DataFrame) -> DataFrame:
 
     ``o`` places an n-gram in the global order by the number of sets that hold
     it and its hash. N-grams of one set alone come before all others and can't
-    be common to two: they only count in ``size``.
+    be common to two: they only count in ``size``. A set may come twice, from
+    repeated rows.
     """
     single = sets.select("cid", F.size("grams").cast("long").alias("size"), F.explode("grams").alias("key"))
     order = F.expr("shiftleft(n, 32) + shiftrightunsigned(key, 32)")
     return (
         _in_company(single)
         .groupBy("cid", "size")
-        .agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "key"))).alias("grams"), F.sum("n").alias("weight"))
+        .agg(F.sort_array(F.collect_set(F.struct(order.alias("o"), "key"))).alias("grams"), F.sum("n").alias("weight"))
     )
 
 
@@ -258,8 +273,7 @@ def join_documents(
     classes = stored(classes, "classes")
     holders = classes.join(promising(digested, percent), "digest", "left_semi").select("cid", "holder._txt", F.col("holder._id").alias("_held"))
     texts = rows.join(holders, "_txt").filter(F.col("_id").eqNullSafe(F.col("_held"))).select("cid", "_text")
-    sets = texts.mapInArrow(_gathered(width), "cid long, grams array<long>")
-    sets = stored(sets.groupBy("cid").agg(F.first("grams").alias("grams")), "sets")
+    sets = stored(texts.mapInArrow(_gathered(width), "cid long, grams array<long>"), "sets")
     ordered = stored(ordered_sets(sets), "ordered")
     segments = stored(segments_of(ordered, borders_of(ordered, fragments)), "segments")
     found = linked(blocks_of(ordered, percent), segments, percent)
