@@ -19,8 +19,9 @@ from innsight.llm._work import column_type, slices, stored
 COORDINATES, LEAST_AGREEING = 64, 40
 #: A block of so many members is compared pair by pair.
 SMALL_BLOCK = 16
-#: Shingles in a chunk of a large block; two chunks meet in one task.
-CHUNK_SHINGLES = 50_000
+#: Shingles and members of a chunk of a large block; two chunks meet in one task,
+#: whose matrices of pairs then take some 100 MB.
+CHUNK_SHINGLES, CHUNK_MEMBERS = 50_000, 750
 
 _U = np.uint64
 
@@ -178,7 +179,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, sets: DataFrame, agreeing: int,
     )
 
 
-def tile_links(comps: list[int], sets: list[np.ndarray], percent: int, columns: int = 8192) -> list[tuple[int, int]]:
+def tile_links(comps: list[int], sets: list[np.ndarray], percent: int, columns: int = 2048) -> list[tuple[int, int]]:
     """Links between sets of different components, as few as join all that are linked."""
     parent = {c: c for c in comps}
 
@@ -203,13 +204,14 @@ def tile_links(comps: list[int], sets: list[np.ndarray], percent: int, columns:
         part = np.zeros((n, columns), np.float32)
         part[owner[here], place[here] - at] = 1
         common += part @ part.T
-    linked = 100 * common >= percent * (lengths[:, None] + lengths[None, :] - common)
     links = []
-    for a, b in np.argwhere(np.triu(linked, 1)):
-        ca, cb = root(comps[a]), root(comps[b])
-        if ca != cb:
-            parent[ca] = cb
-            links.append((int(a), int(b)))
+    for a in range(n - 1):
+        shared_with = common[a, a + 1 :]
+        for b in np.flatnonzero(100 * shared_with >= percent * (lengths[a] + lengths[a + 1 :] - shared_with)) + a + 1:
+            ca, cb = root(comps[a]), root(comps[b])
+            if ca != cb:
+                parent[ca] = cb
+                links.append((a, int(b)))
     return links
 
 
@@ -266,9 +268,12 @@ def _linked(blocks: DataFrame, classes: DataFrame, sets: DataFrame, agreeing: in
     )
     undone = (
         rest.groupBy("key")
-        .agg(F.min("comp").alias("l"), F.max("comp").alias("h"), F.sum("size").alias("all"))
+        .agg(
+            F.min("comp").alias("l"), F.max("comp").alias("h"),
+            F.sum("size").alias("all"), F.count(F.lit(1)).alias("members"),
+        )
         .filter("l <> h")
-        .select("key", F.ceil(F.col("all") / CHUNK_SHINGLES).alias("chunks"))
+        .select("key", F.ceil(F.greatest(F.col("all") / CHUNK_SHINGLES, F.col("members") / CHUNK_MEMBERS)).alias("chunks"))
     )
     chunk = F.pmod(F.xxhash64("cid"), F.col("chunks"))
     tiled = (
@@ -283,29 +288,10 @@ def _linked(blocks: DataFrame, classes: DataFrame, sets: DataFrame, agreeing: in
     return components(more.unionByName(kept))
 
 
-def near_duplicates(
-    documents: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    percent: int = 85,
-    width: int = 5,
-    coordinates: int = COORDINATES,
-    agreeing: int = LEAST_AGREEING,
+def _judged(
+    documents: DataFrame, id_column: str, text_column: str, percent: int, width: int, coordinates: int, agreeing: int
 ) -> DataFrame:
-    """``id, n_shingles, component_id, kept`` of every row.
-
-    Documents are linked if the Jaccard similarity of their shingle sets is
-    ``percent`` hundredths or more. Equal sets are one class from the start, so
-    copies are never paired. Classes meet through the inverted index of their
-    signature coordinates (see ``blocks_of`` and ``_linked``). Pairs that agree in
-    ``agreeing`` coordinates are confirmed on the full sets.
-
-    ``component_id`` is the smallest id that can be reached, ``kept`` marks its
-    row. Texts without words are linked with nothing. Rows without an id take
-    part and are not kept if anything they are linked with has one; on their own
-    they are kept with a null component. Rows that repeat an id share its
-    verdict. An empty table gives none; further columns are ignored.
-    """
+    """``_id, _txt, size, component_id, joint`` of every row; ``joint`` names its component, null if it is alone in it."""
     kind = column_type(documents, id_column)
     rows = _identified(documents, id_column, text_column)
     signed = stored(
@@ -343,10 +329,40 @@ def near_duplicates(
     leasts = grouped.groupBy("comp").agg(F.min("least").alias("component_id"))
     answer = (
         grouped.join(leasts, "comp")
-        .select("digest", "component_id")
-        .unionByName(named.filter("comp is null and copies > 1").select("digest", F.col("least").alias("component_id")))
+        .select("digest", "component_id", F.col("comp").alias("joint"))
+        .unionByName(
+            named.filter("comp is null and copies > 1").select(
+                "digest", F.col("least").alias("component_id"), F.col("cid").alias("joint")
+            )
+        )
     )
-    out = signed.select("_id", "size", "digest").join(answer, "digest", "left")
+    return signed.select("_id", "_txt", "size", "digest").join(answer, "digest", "left").drop("digest")
+
+
+def near_duplicates(
+    documents: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    percent: int = 85,
+    width: int = 5,
+    coordinates: int = COORDINATES,
+    agreeing: int = LEAST_AGREEING,
+) -> DataFrame:
+    """``id, n_shingles, component_id, kept`` of every row.
+
+    Documents are linked if the Jaccard similarity of their shingle sets is
+    ``percent`` hundredths or more. Equal sets are one class from the start, so
+    copies are never paired. Classes meet through the inverted index of their
+    signature coordinates (see ``blocks_of`` and ``_linked``). Pairs that agree in
+    ``agreeing`` coordinates are confirmed on the full sets.
+
+    ``component_id`` is the smallest id that can be reached, ``kept`` marks its
+    row. Texts without words are linked with nothing. Rows without an id take
+    part and are not kept if anything they are linked with has one; on their own
+    they are kept with a null component. Rows that repeat an id share its
+    verdict. An empty table gives none; further columns are ignored.
+    """
+    out = _judged(documents, id_column, text_column, percent, width, coordinates, agreeing)
     component = F.coalesce("component_id", "_id")
     return out.select(
         F.col("_id").alias(id_column),
@@ -354,3 +370,32 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("_id") == component, component.isNull()).alias("kept"),
     )
+
+
+def one_of_each(
+    documents: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    percent: int = 85,
+    width: int = 5,
+    coordinates: int = COORDINATES,
+    agreeing: int = LEAST_AGREEING,
+) -> DataFrame:
+    """``documents`` with one row of each group of linked ones, in all its columns.
+
+    The row with the smallest id stays, one without an id only if no other has
+    one, and of one id's texts the one with the smallest hash. Rows with equal
+    id and text are one document, of which one row stays. Rows without words
+    are linked with nothing.
+    """
+    judged = stored(_judged(documents, id_column, text_column, percent, width, coordinates, agreeing), "judged")
+    place = F.struct(F.col("_id").isNull().alias("n"), "_id", "_txt")
+    first = judged.filter("joint is not null").groupBy("joint").agg(F.min(place).alias("first"))
+    gone = judged.join(first, "joint").filter(~place.eqNullSafe(F.col("first")))
+    gone = gone.select(F.col("_id").alias("_key"), "_txt", F.lit(True).alias("_gone")).distinct()
+    # documents and marks of those that go meet in one shuffle, which also unites repeated rows
+    columns = [F.col(c).alias(f"_c{i}") for i, c in enumerate(documents.columns)]
+    rows = documents.select(F.col(id_column).alias("_key"), F.xxhash64(text_column).alias("_txt"), F.struct(*columns).alias("_row"))
+    met = rows.unionByName(gone, allowMissingColumns=True).groupBy("_key", "_txt")
+    left = met.agg(F.max("_gone").alias("_gone"), F.min("_row").alias("_row")).filter("_gone is null")
+    return left.select(*[F.col(f"_row._c{i}").alias(c) for i, c in enumerate(documents.columns)])
