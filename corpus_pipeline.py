@@ -1,8 +1,12 @@
 """Five stages from raw documents to packed training sequences.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all documents that the
-stage before it kept; all but the last return the columns of ``documents``.
-``run`` writes each stage's result as Parquet and reads it again for the next.
+stage before it kept; all but the last return the columns of ``documents``,
+whatever further columns come in. A stage decides on rows by id and text, so rows
+without an id, or with one id and different texts, fare each on its own. Rows
+equal in both pass the language and line stages together and are one document
+from near-duplicate removal on. Null and empty texts go with the language stage.
+An empty table passes all stages empty. ``run`` writes each stage's result as Parquet and reads it again for the next.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; a document left without any visible character goes with them."""
+    """Lines that an earlier document holds go; a document left without any visible character goes with them. Null texts become empty."""
     docs = docs.select(*COLUMNS)
     bitmaps = line_dedup.line_bitmaps(docs)
     key = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
@@ -36,18 +40,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    docs = docs.select(*COLUMNS)
-    found = near_dup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti").select(*COLUMNS)
+    """Of each group of linked documents the one with the smallest id stays, and of rows equal in id and text one."""
+    return near_dup.one_of_each(docs.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover half or more of a benchmark item go."""
-    docs = docs.select(*COLUMNS)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti").select(*COLUMNS)
+    return decontaminate.without_contaminated(docs.select(*COLUMNS), benchmark)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
