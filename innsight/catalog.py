@@ -152,11 +152,6 @@ def _register(spark: SparkSession, sf_dir: str) -> Delta:
     return plans.register_services(fixture_hotel(spark, sf_dir), service_requests(spark, sf_dir), NOW)
 
 
-def _future(h: Hotel) -> DataFrame:
-    """Every booking that has not begun, as an upgrade request."""
-    return booking_followups(h).filter(F.col("fecha_inicio") > F.lit(P.hoy))
-
-
 def _recomputed(h: Hotel) -> DataFrame:
     delta = plans.recompute_vip(h, P.hoy)
     return delta.updates["cliente_vip"].unionByName(delta.inserts["cliente_vip"]).drop("id_vip")
@@ -182,8 +177,9 @@ def _appliers() -> dict[str, Query]:
         "t_j_cancel_bookings": lambda h: _cancel(h).updates["reservacion"],
         "t_j_cancel_rooms": lambda h: _cancel(h).updates["habitacion"],
         "p_g_recompute_vip": _recomputed,
-        "p_j_propose_upgrades": lambda h: plans.propose_upgrades(h, _future(h)).drop("arrival"),
-        "p_j_upgrade_rows": lambda h: plans.upgrade(h, _future(h)).updates["reservacion_habitacion"],
+        "p_j_propose_upgrades": lambda h: plans.propose_upgrades(h, booking_followups(h)).drop("arrival"),
+        "p_j_upgrade_rows": lambda h: plans.upgrade(h, booking_followups(h)).updates["reservacion_habitacion"],
+        "p_j_upgrade_rejected": lambda h: plans.upgrade(h, booking_followups(h)).rejected,
         "t_a_checkin_stays": lambda h: _insert(_check_in(h), "estancia", "id_estancia"),
         "t_a_checkin_rooms": lambda h: _check_in(h).updates["habitacion"],
         "t_g_checkin_rejected": lambda h: _check_in(h).rejected,

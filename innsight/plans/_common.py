@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innsight.functions import nights
 from innsight.schemas import RESERVA_LIBERADA
+from innsight.session import checkpoint
 from innsight.tables import Hotel
 
 ROOM_NIGHT = ["id_habitacion", "noche"]
@@ -38,15 +39,26 @@ def valid_range() -> Column:
 
 
 def dedupe_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The earliest row of each request id, and the repeats as ``duplicate_request``.
+    """One row of each request id, and the others with their reason.
 
-    A request delivered twice is carried out once.
+    A request delivered twice is carried out once: of the rows of an id the
+    earliest stays, of equally early ones the least in its other columns, and the
+    rest is refused as ``duplicate_request``. Rows without an id are refused as
+    ``missing_request_id``. Rows of one id are combined inside each task first.
     """
-    order = F.col("arrival").asc_nulls_last() if "arrival" in requests.columns else F.col("request_id")
-    turn = F.row_number().over(Window.partitionBy("request_id").orderBy(order))
-    counted = requests.withColumn("_vez", turn)
-    repeats = counted.filter("_vez > 1").select("request_id", F.lit("duplicate_request").alias("motivo_rechazo"))
-    return counted.filter("_vez = 1").drop("_vez"), repeats
+    others = [c for c in requests.columns if c != "request_id"]
+    order = [F.col("arrival").isNull().alias("_tarde"), F.col("arrival").alias("_llegada")] if "arrival" in others else []
+    least = F.min(F.struct(*order, *[F.col(c) for c in others])).alias("_fila")
+    named = requests.filter(F.col("request_id").isNotNull())
+    counted = checkpoint(named.groupBy("request_id").agg(least, F.count(F.lit(1)).alias("_veces")))
+    first = counted.select("request_id", *[F.col(f"_fila.{c}").alias(c) for c in others])
+    again = counted.filter("_veces > 1").select(
+        "request_id", F.explode(F.expr("array_repeat('duplicate_request', cast(_veces - 1 as int))")).alias("motivo_rechazo")
+    )
+    nameless = requests.filter(F.col("request_id").isNull()).select(
+        "request_id", F.lit("missing_request_id").alias("motivo_rechazo")
+    )
+    return first.select(*requests.columns), again.unionByName(nameless)
 
 
 def known(df: DataFrame, column: str, flag: str) -> DataFrame:

@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_left
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.functions import field_rank, greatest_strict, nights, vip_level
-from innsight.plans._common import ROOM_NIGHT, first_reason, held_room_nights, new_id, split
+from innsight.plans._common import (
+    ROOM_NIGHT,
+    dedupe_requests,
+    first_reason,
+    held_room_nights,
+    live_bookings,
+    mark_first,
+    new_id,
+    split,
+)
 from innsight.schemas import HABITACION_ASIGNABLE, NIVELES_VIP, RESERVA_LIBERADA
 from innsight.session import checkpoint
 from innsight.tables import Delta, Hotel
@@ -153,17 +163,8 @@ def _ladder(hotel: Hotel) -> tuple[DataFrame, DataFrame]:
     return ladder, starts
 
 
-def propose_upgrades(hotel: Hotel, requests: DataFrame, probe: int = 8) -> DataFrame:
-    """Requests (request_id, arrival, id_reservacion) with ``id_habitacion_nueva``.
-
-    Each request is judged alone against the stored bookings: the room of the
-    cheapest dearer category, lowest id first, that is free for its dates; NULL
-    when there is none or with a ``motivo_rechazo``.
-
-    Rooms stand on one ladder ordered by price. A request climbs from the first
-    dearer room; each round tests the next stretch of rooms for those still
-    climbing and doubles the stretch, so the work is at most twice the climb.
-    """
+def _judge_upgrades(hotel: Hotel, requests: DataFrame) -> DataFrame:
+    """Requests with their booking's dates and cheapest booked category, or a ``motivo_rechazo``."""
     booked = (
         hotel.reservacion_habitacion.select("id_reservacion", "id_habitacion")
         .join(hotel.habitacion.select("id_habitacion", "id_categoria"), "id_habitacion")
@@ -173,7 +174,7 @@ def propose_upgrades(hotel: Hotel, requests: DataFrame, probe: int = 8) -> DataF
     )
     bookings = hotel.reservacion.select("id_reservacion", "id_huesped_facturador", "fecha_inicio", "fecha_salida")
     levels = hotel.cliente_vip.select("id_huesped_facturador", "nivel_vip")
-    judged = (
+    return (
         requests.select("request_id", "arrival", "id_reservacion")
         .join(bookings, "id_reservacion", "left")
         .join(levels, "id_huesped_facturador", "left")
@@ -186,7 +187,20 @@ def propose_upgrades(hotel: Hotel, requests: DataFrame, probe: int = 8) -> DataF
             ),
         )
     )
-    judged = checkpoint(judged)
+
+
+def propose_upgrades(hotel: Hotel, requests: DataFrame, probe: int = 8) -> DataFrame:
+    """Requests (request_id, arrival, id_reservacion) with ``id_habitacion_nueva``.
+
+    Each request is judged alone against the stored bookings: the room of the
+    cheapest dearer category, lowest id first, that is free for its dates; NULL
+    when there is none or with a ``motivo_rechazo``.
+
+    Rooms stand on one ladder ordered by price. A request climbs from the first
+    dearer room; each round tests the next stretch of rooms for those still
+    climbing and doubles the stretch, so the work is at most twice the climb.
+    """
+    judged = checkpoint(_judge_upgrades(hotel, requests))
     eligible = judged.filter(F.col("motivo_rechazo").isNull())
     ladder, starts = _ladder(hotel)
     top = ladder.agg(F.max("lugar")).first()[0]
@@ -228,42 +242,158 @@ def propose_upgrades(hotel: Hotel, requests: DataFrame, probe: int = 8) -> DataF
     )
 
 
-def upgrade(hotel: Hotel, requests: DataFrame, rounds: int | None = 1) -> Delta:
-    """Move booked rooms to their proposed upgrade; rate and subtotal stay.
+#: Days that one task assigns; requests belong to the block in which they begin.
+BLOCK_DAYS = 16
+
+_SIDE = (
+    "bloque long, clase int, orden long, id_reservacion long, lugar long, ini long, fin long, desde long, viva boolean"
+)
+#: Rows of a block: its requests, rooms of the ladder, stored bookings of these rooms.
+PEDIDO, CUARTO, GUARDADA = range(3)
+
+
+def assign_in_order(requests, rooms, stored, others):
+    """First free room of each request of a block, in order of arrival; tuples in, ``(orden, lugar)`` out.
 
-    Of requests that want the same room for the same night the earliest gets it.
-    The others propose again against the calendar with the moves made so far,
-    for as many ``rounds`` as asked, or with None until nobody is left waiting.
-    Whoever still waits comes back as ``taken_in_batch`` and can be sent again.
-    Requests without a better room change nothing.
+    ``requests`` are (orden, booking, ini, fin, desde, live), ``rooms`` the
+    sorted places of the ladder, ``stored`` (booking, lugar, ini, fin) the live
+    bookings of these rooms, ``others`` (orden, booking, ini, fin, lugar, live) the
+    requests of other blocks with the rooms they have so far.
     """
-    from innsight.plans.booking import first_come
+    turn = {booking: orden for orden, booking, *_ in (*requests, *others)}
+    moved = {booking for _, booking, _, _, lugar, _ in others if lugar is not None}
+    held: dict[int, list[tuple]] = {}
+    for booking, lugar, ini, fin in stored:
+        held.setdefault(lugar, []).append((booking, ini, fin))
+    taken: dict[int, list[tuple]] = {}
+    for orden, _, ini, fin, lugar, live in others:
+        if lugar is not None and live:
+            taken.setdefault(lugar, []).append((orden, ini, fin))
+    found = []
+    for orden, booking, ini, fin, desde, live in sorted(requests):
 
-    base = hotel.reservacion_habitacion
-    moves = requests.sparkSession.createDataFrame([], "id_reservacion long, id_habitacion_nueva long")
-    refused: DataFrame | None = None
-    waiting, done = requests, 0
+        def blocked(lugar: int) -> bool:
+            if ini is None or fin is None:
+                return False
+            return any(a < fin and b > ini and first < orden for first, a, b in taken.get(lugar, ())) or any(
+                a < fin and b > ini and other != booking and not (other in moved and turn[other] < orden)
+                for other, a, b in held.get(lugar, ())
+            )
+
+        pick = next((lugar for lugar in rooms[bisect_left(rooms, desde) :] if not blocked(lugar)), None)
+        found.append((orden, pick))
+        if pick is not None:
+            moved.add(booking)
+            if live and ini is not None and fin is not None:
+                taken.setdefault(pick, []).append((orden, ini, fin))
+    return found
+
+
+def _solve(block, others):
+    import pandas as pd
+
+    def rows(frame, *columns):
+        clean = frame[list(columns)].astype(object)
+        return list(clean.where(clean.notna(), None).itertuples(index=False, name=None))
+
+    found = assign_in_order(
+        rows(block[block.clase == PEDIDO], "orden", "id_reservacion", "ini", "fin", "desde", "viva"),
+        sorted(block[block.clase == CUARTO].lugar.astype("int64")),
+        rows(block[block.clase == GUARDADA], "id_reservacion", "lugar", "ini", "fin"),
+        rows(others, "orden", "id_reservacion", "ini", "fin", "lugar", "viva"),
+    )
+    out = pd.DataFrame(found, columns=["orden", "lugar"])
+    return out.astype({"orden": "int64", "lugar": "Int64"})
+
+
+def _blocks(start: str, end: str) -> Column:
+    """Blocks that a stay touches; a stay without dates is in block null."""
+    first = F.floor(F.col(start) / BLOCK_DAYS)
+    return F.explode_outer(F.sequence(first, F.greatest(first, F.floor((F.col(end) - 1) / BLOCK_DAYS))))
+
+
+def _assignment(hotel: Hotel, eligible: DataFrame) -> DataFrame:
+    """``orden, lugar`` of each eligible request, as one call after the other would choose.
+
+    A request depends on the earlier ones that overlap it. Blocks of days are
+    settled side by side, each in order of arrival, against the rooms that the
+    requests of other blocks have so far; that is repeated until no room
+    changes. Whatever no longer changes satisfies each request's rule, and only
+    the rooms chosen one by one do, for each request's rule names earlier ones
+    alone. Changes pass from block to block only through stays over a border,
+    so few repetitions are needed.
+    """
+    day = lambda c: F.datediff(F.col(c), F.lit(dt.date(1970, 1, 1))).cast("long")
+    ladder, starts = _ladder(hotel)
+    asked = eligible.join(starts, "precio_base").select(
+        "orden", "id_reservacion", day("fecha_inicio").alias("ini"), day("fecha_salida").alias("fin"), "desde",
+        (~F.col("estado").isin(*RESERVA_LIBERADA)).alias("viva"),
+    )
+    asked = checkpoint(asked.withColumn("hogar", F.coalesce(F.floor(F.col("ini") / BLOCK_DAYS), F.lit(-(1 << 40)))))
+    # which blocks must know what happens in block ``b``: those with a request that reaches it
+    reach = asked.select(_blocks("ini", "fin").alias("b"), F.col("hogar").alias("bloque")).distinct()
+    reach = checkpoint(reach.filter("b is not null"))
+    live = live_bookings(hotel).select("id_reservacion", day("fecha_inicio").alias("ini"), day("fecha_salida").alias("fin"))
+    held = (
+        hotel.reservacion_habitacion.select("id_reservacion", "id_habitacion")
+        .join(ladder.select("id_habitacion", "lugar"), "id_habitacion")
+        .join(live, "id_reservacion")
+        .select("id_reservacion", "lugar", "ini", "fin", _blocks("ini", "fin").alias("b"))
+        .join(reach, "b")
+        .drop("b")
+        .distinct()
+    )
+    # as many blocks as the calendar of the requests has
+    blocks = [r.hogar for r in asked.select("hogar").distinct().collect()]
+    rooms = ladder.select("lugar", F.explode(F.array(*map(F.lit, blocks)).cast("array<long>")).alias("bloque"))
+    parts = (
+        asked.withColumnRenamed("hogar", "bloque").withColumn("clase", F.lit(PEDIDO)),
+        rooms.withColumn("clase", F.lit(CUARTO)),
+        held.withColumn("clase", F.lit(GUARDADA)),
+    )
+    empty = asked.sparkSession.createDataFrame([], _SIDE)
+    fixed = checkpoint(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts, empty))
+    picks = asked.select("orden", F.lit(None).cast("long").alias("lugar"))
     while True:
-        moved = base.join(moves, "id_reservacion", "left").withColumn(
-            "id_habitacion", F.coalesce("id_habitacion_nueva", "id_habitacion")
+        others = (
+            asked.join(picks, "orden")
+            .select("orden", "id_reservacion", "ini", "fin", "lugar", "viva", "hogar", _blocks("ini", "fin").alias("b"))
+            .join(reach.withColumnRenamed("bloque", "destino"), "b")
+            .filter("hogar <> destino")
+            .drop("b", "hogar")
+            .distinct()
         )
-        now = hotel.replace(reservacion_habitacion=moved.select(*base.columns))
-        proposed = checkpoint(propose_upgrades(now, waiting))
-        if refused is None:
-            refused = split(proposed)[1]
-        wanting = proposed.filter(F.col("id_habitacion_nueva").isNotNull())
-        granted = first_come(wanting.withColumnRenamed("id_habitacion_nueva", "id_habitacion"))
-        won = wanting.join(granted, "request_id", "left_semi").select("id_reservacion", "id_habitacion_nueva")
-        moves = checkpoint(moves.join(won, "id_reservacion", "left_anti").unionByName(won))
-        late = wanting.join(granted, "request_id", "left_anti").select("request_id", "arrival", "id_reservacion")
-        waiting = checkpoint(late)
-        done += 1
-        if (rounds is not None and done >= rounds) or waiting.isEmpty():
-            break
-    rows = (
-        base.join(moves, "id_reservacion")
-        .withColumn("id_habitacion", F.col("id_habitacion_nueva"))
-        .select(*base.columns)
+        settled = checkpoint(
+            fixed.groupBy("bloque").cogroup(others.groupBy("destino")).applyInPandas(_solve, "orden long, lugar long")
+        )
+        before = picks.withColumnRenamed("lugar", "antes")
+        if settled.join(before, "orden").filter(~F.col("lugar").eqNullSafe(F.col("antes"))).isEmpty():
+            return settled.join(ladder.select("lugar", F.col("id_habitacion").alias("id_habitacion_nueva")), "lugar")
+        picks = settled
+
+
+def upgrade(hotel: Hotel, requests: DataFrame) -> Delta:
+    """Move booked rooms to the upgrade that one request after the other would get; rate and subtotal stay.
+
+    Each request, in order of arrival, takes the first room of a dearer category
+    that is free for its dates of stored bookings and of earlier moves; rooms
+    that earlier moves left are free. Of several requests for one booking the
+    earliest counts. Requests without a better room change nothing.
+    """
+    requests, repeats = dedupe_requests(requests)
+    ranked = mark_first(requests.filter("id_reservacion is not null"), "id_reservacion")
+    first = ranked.filter("es_primera").select(*requests.columns).unionByName(requests.filter("id_reservacion is null"))
+    again = ranked.filter(~F.col("es_primera")).select("request_id", F.lit("duplicate_request").alias("motivo_rechazo"))
+    judged = checkpoint(_judge_upgrades(hotel, first))
+    eligible, refused = judged.filter(F.col("motivo_rechazo").isNull()), split(judged)[1]
+    states = hotel.reservacion.select("id_reservacion", "estado")
+    ordered = positions(
+        eligible.join(states, "id_reservacion").withColumn("_sin", F.col("arrival").isNull()), "_sin", "arrival", "request_id"
+    ).withColumnRenamed("lugar", "orden")
+    moves = ordered.select("orden", "id_reservacion").join(_assignment(hotel, ordered), "orden")
+    base = hotel.reservacion_habitacion
+    rows = base.join(moves.select("id_reservacion", "id_habitacion_nueva"), "id_reservacion").withColumn(
+        "id_habitacion", F.col("id_habitacion_nueva")
     )
-    late = waiting.select("request_id", F.lit("taken_in_batch").alias("motivo_rechazo"))
-    return Delta(updates={"reservacion_habitacion": rows}, rejected=refused.unionByName(late))
+    rejected = refused.unionByName(again).unionByName(repeats)
+    return Delta(updates={"reservacion_habitacion": rows.select(*base.columns)}, rejected=rejected)

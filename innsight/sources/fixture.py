@@ -277,9 +277,14 @@ class _Fixture:
         )
 
     def _line_id(self) -> Column:
-        """Row-derived surrogate: (order, line) alone does not identify a line item."""
-        mix = F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_quantity").cast("long") * 7
-        return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4096 + mix % 4096
+        """Surrogate of a line item from all that tells it from others; (order, line) alone does not."""
+        said = F.concat_ws(
+            ":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+            F.floor("l_quantity").cast("string"),
+            F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"),
+            F.col("l_shipdate").cast("date").cast("string"),
+        )
+        return F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("long")
 
     @_once
     def reservacion_habitacion(self) -> DataFrame:

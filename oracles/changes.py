@@ -85,13 +85,13 @@ STEPS: dict[str, str] = {
         FROM huesped_facturador f LEFT JOIN reservacion r
           ON r.id_huesped_facturador = f.id_huesped_facturador AND r.estado NOT IN ('cancelada', 'expirada')
         GROUP BY 1""",
-    "ascenso": f"""SELECT r.id_reservacion, r.fecha_inicio, r.fecha_salida, v.nivel_vip, x.precio_base,
+    "ascenso": """SELECT r.id_reservacion, r.fecha_inicio, r.fecha_salida, v.nivel_vip, x.precio_base,
         CASE WHEN v.nivel_vip IS NULL OR x.precio_base IS NULL THEN 'not_vip'
              WHEN v.nivel_vip NOT IN ('oro', 'platino') THEN 'level_too_low' END AS motivo_rechazo
         FROM reservacion r LEFT JOIN cliente_vip v ON v.id_huesped_facturador = r.id_huesped_facturador
         LEFT JOIN (SELECT id_reservacion, min(precio_base) AS precio_base FROM reservacion_habitacion
              JOIN habitacion USING (id_habitacion) JOIN categoria_habitacion USING (id_categoria) GROUP BY 1) x
-          ON x.id_reservacion = r.id_reservacion WHERE r.fecha_inicio > {HOY}""",
+          ON x.id_reservacion = r.id_reservacion""",
     "cuarto_ascenso": """SELECT h.id_habitacion, c.precio_base FROM habitacion h
         JOIN categoria_habitacion c USING (id_categoria) WHERE h.estado IN ('disponible', 'limpieza')""",
     "elegido": """SELECT a.id_reservacion, arg_min(k.id_habitacion, (k.precio_base, k.id_habitacion)) AS nueva_hab
@@ -99,6 +99,35 @@ STEPS: dict[str, str] = {
         WHERE a.motivo_rechazo IS NULL AND NOT EXISTS (SELECT 1 FROM agenda q
           WHERE q.id_habitacion = k.id_habitacion AND q.id_reservacion <> a.id_reservacion
             AND q.a < a.fecha_salida AND q.b > a.fecha_inicio) GROUP BY 1""",
+    # upgrades one call after the other: each with the dearer rooms no other booking holds for good, in order,
+    # and those held by bookings that ask themselves
+    "fila": """SELECT a.id_reservacion AS i, a.fecha_inicio AS a, a.fecha_salida AS b, a.precio_base AS p,
+        r.estado NOT IN ('cancelada', 'expirada') AS viva,
+        row_number() OVER (ORDER BY a.fecha_inicio, a.id_reservacion) AS n
+        FROM ascenso a JOIN reservacion r USING (id_reservacion) WHERE a.motivo_rechazo IS NULL""",
+    "estorbo": """SELECT f.i, q.id_habitacion AS hab, q.id_reservacion AS j,
+        q.id_reservacion IN (SELECT i FROM fila) AS pide
+        FROM fila f JOIN agenda q ON q.a < f.b AND q.b > f.a AND q.id_reservacion <> f.i""",
+    "opcion": """SELECT f.i, list(k.id_habitacion ORDER BY k.precio_base, k.id_habitacion) AS cuartos
+        FROM fila f JOIN cuarto_ascenso k ON k.precio_base > f.p
+        LEFT JOIN (SELECT DISTINCT i, hab FROM estorbo WHERE NOT pide) e ON e.i = f.i AND e.hab = k.id_habitacion
+        WHERE e.i IS NULL GROUP BY 1""",
+    "retenida": """SELECT i, list({'hab': hab, 'j': j}) AS lista FROM estorbo WHERE pide GROUP BY 1""",
+    "vecindad": "SELECT f.i, count(*) AS k FROM fila f JOIN fila g ON g.a < f.b AND g.b > f.a GROUP BY 1",
+    # overlapping requests take or hold one room each of those at most, so no more can be needed
+    "solicitud": """SELECT f.*, coalesce(o.cuartos, [])[1:w.k + len(coalesce(e.lista, [])) + 1] AS cuartos,
+        coalesce(e.lista, []) AS lista
+        FROM fila f JOIN vecindad w USING (i) LEFT JOIN opcion o USING (i) LEFT JOIN retenida e USING (i)""",
+    "mudanza": """SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(res BIGINT, hab BIGINT, a DATE, b DATE, viva BOOLEAN)[]) AS hechas
+        UNION ALL
+        SELECT y.n, list_append(y.hechas, {'res': y.i,
+          'hab': list_filter(y.cuartos, lambda c: NOT list_contains(y.ocupadas, c))[1], 'a': y.a, 'b': y.b, 'viva': y.viva})
+        FROM (SELECT z.*, list_concat(z.tomadas, list_transform(
+              list_filter(z.lista, lambda x: NOT list_contains(z.movidas, x.j)), lambda x: x.hab)) AS ocupadas
+          FROM (SELECT s.*, m.hechas,
+              list_transform(list_filter(m.hechas, lambda h: h.viva AND h.a < s.b AND h.b > s.a), lambda h: h.hab) AS tomadas,
+              list_transform(list_filter(m.hechas, lambda h: h.hab IS NOT NULL), lambda h: h.res) AS movidas
+            FROM mudanza m JOIN solicitud s ON s.n = m.n + 1) z) y""",
     "cambio": """SELECT *, lag(estado) OVER (PARTITION BY id_habitacion ORDER BY fecha_hora, request_id) AS antes
         FROM suceso""",
 }
@@ -176,6 +205,11 @@ CHANGES: dict[str, str] = {
         FROM historia x LEFT JOIN cliente_vip v USING (id_huesped_facturador)""",
     "p_j_propose_upgrades": """SELECT a.id_reservacion AS request_id, a.id_reservacion, a.fecha_inicio, a.fecha_salida,
         e.nueva_hab AS id_habitacion_nueva, a.motivo_rechazo FROM ascenso a LEFT JOIN elegido e USING (id_reservacion)""",
+    "p_j_upgrade_rows": """SELECT rh.* REPLACE (x.h.hab AS id_habitacion) FROM reservacion_habitacion rh
+        JOIN (SELECT unnest(hechas) AS h FROM (SELECT hechas FROM mudanza ORDER BY n DESC LIMIT 1)) x
+          ON x.h.res = rh.id_reservacion WHERE x.h.hab IS NOT NULL""",
+    "p_j_upgrade_rejected": """SELECT id_reservacion AS request_id, motivo_rechazo FROM ascenso
+        WHERE motivo_rechazo IS NOT NULL""",
     "t_a_checkin_stays": f"""SELECT id_reservacion, id_reservacion % 10 AS id_empleado, id_habitacion,
         {AHORA} AS fecha_hora_checkin, fecha_salida + INTERVAL 12 HOUR AS fecha_hora_checkout_programado,
         CAST(NULL AS TIMESTAMP) AS fecha_hora_checkout_real FROM ingreso WHERE n = 1""",

@@ -350,7 +350,7 @@ def test_upgrades(spark, seed):
     assert dict(rows_of(refused, "id_reservacion", "motivo_rechazo")) == {111: "level_too_low", 999: "not_vip"}
 
     future = followups(spark, list(range(111, 121)) + [115])
-    delta = plans.upgrade(hotel, future, rounds=None)
+    delta = plans.upgrade(hotel, future)
     after = hotel.apply(delta)
     spans = rows_of(
         after.reservacion_habitacion.join(after.reservacion.drop("subtotal"), "id_reservacion").filter(
@@ -364,6 +364,76 @@ def test_upgrades(spark, seed):
     assert all(old[r.id_reservacion] == r.subtotal for r in delta.updates["reservacion_habitacion"].collect())
 
 
+def _upgrade_in_order(hotel, requests):
+    """One call after the other on plain lists: room of each booking afterwards."""
+    price = dict(rows_of(hotel.categoria_habitacion, "id_categoria", "precio_base"))
+    rooms = [(price[r.id_categoria], r.id_habitacion, r.estado) for r in hotel.habitacion.collect()]
+    cost = {room: p for p, room, _ in rooms}
+    ladder = sorted((p, room) for p, room, state in rooms if state in ("disponible", "limpieza"))
+    levels = dict(rows_of(hotel.cliente_vip, "id_huesped_facturador", "nivel_vip"))
+    stays = {r.id_reservacion: r for r in hotel.reservacion.collect()}
+    booked: dict = {}
+    for r in hotel.reservacion_habitacion.collect():
+        booked.setdefault(r.id_reservacion, set()).add(r.id_habitacion)
+    moved = {}
+    for key in requests:
+        stay = stays.get(key)
+        if stay is None or key not in booked or levels.get(stay.id_huesped_facturador) not in ("oro", "platino"):
+            continue
+        least = min(cost[room] for room in booked[key])
+        for p, room in ladder:
+            busy = any(
+                room in booked[other] and other != key and stays[other].estado not in ("cancelada", "expirada")
+                and stays[other].fecha_inicio < stay.fecha_salida and stays[other].fecha_salida > stay.fecha_inicio
+                for other in booked
+            )
+            if p > least and not busy:
+                booked[key] = {room}
+                moved[key] = room
+                break
+    return moved
+
+
+@pytest.mark.parametrize("seed_number", [1, 2])
+def test_upgrades_equal_one_call_after_the_other(spark, seed, seed_number):
+    rng = random.Random(seed_number)
+    # few rooms of dearer categories, stays crowded into three months, requests in any order
+    start = dt.date(2026, 1, 1)
+    ids = list(range(1, 121))
+    spans = {i: (start + dt.timedelta(rng.randrange(90)), rng.randrange(1, 25)) for i in ids}
+    dates = spark.createDataFrame([(i, a, a + dt.timedelta(n)) for i, (a, n) in spans.items()], "id_reservacion long, _a date, _b date")
+    stays = seed.reservacion.join(dates, "id_reservacion").withColumns(
+        {"fecha_inicio": F.col("_a"), "fecha_salida": F.col("_b"), "id_huesped_facturador": F.lit(1).cast("long")}
+    )
+    rooms = seed.habitacion.withColumn("estado", F.when(F.col("id_habitacion") % 3 == 0, "disponible").otherwise("mantenimiento"))
+    vips = seed.cliente_vip.filter("id_huesped_facturador = 1").withColumn("nivel_vip", F.lit("oro"))
+    hotel = seed.replace(reservacion=stays.select(*seed.reservacion.columns), habitacion=rooms, cliente_vip=vips)
+    order = rng.sample(ids, 100)
+    arrivals = [(n, start + dt.timedelta(n) if seed_number == 1 else None, key) for n, key in enumerate(order)]
+    requests = spark.createDataFrame(arrivals, "request_id long, arrival date, id_reservacion long")
+    delta = plans.upgrade(hotel, requests)
+    got = dict(rows_of(delta.updates["reservacion_habitacion"], "id_reservacion", "id_habitacion"))
+    wanted = _upgrade_in_order(hotel, order)
+    assert got == wanted and len(wanted) > 10
+    once = plans.propose_upgrades(hotel, requests).filter("id_habitacion_nueva is not null")
+    assert dict(rows_of(once, "id_reservacion", "id_habitacion_nueva")) != wanted
+
+
+def test_requests_of_one_id_and_without(spark, seed):
+    rows = [
+        (1, dt.datetime(2026, 5, 2), 101, 1), (1, dt.datetime(2026, 5, 1), 102, 1), (1, None, 103, 1),
+        (None, dt.datetime(2026, 5, 1), 104, 1), (None, dt.datetime(2026, 5, 1), 105, 1), (2, None, 104, 1),
+    ]
+    requests = spark.createDataFrame(rows, "request_id long, arrival timestamp_ntz, id_reservacion long, id_empleado long")
+    delta = plans.checkout(seed, requests, dt.datetime(2026, 5, 15, 11))
+    reasons = sorted((r.request_id or 0, r.motivo_rechazo) for r in delta.rejected.collect())
+    assert [r for r in reasons if r[1] in ("duplicate_request", "missing_request_id")] == [
+        (0, "missing_request_id"), (0, "missing_request_id"), (1, "duplicate_request"), (1, "duplicate_request"),
+    ]
+    done = {r.id_reservacion for r in delta.updates["reservacion"].collect()}
+    assert done <= {102, 104} and 101 not in done
+
+
 def test_expiry_and_validators(spark, seed):
     late = seed.replace(reservacion=seed.reservacion.filter("id_reservacion > 110"))
     moved = plans.expire_bookings(late, day(40)).updates["reservacion"]
