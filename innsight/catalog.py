@@ -24,6 +24,7 @@ from innsight.sources.fixture import (
     stream_room_events,
     stream_service_requests,
 )
+from innsight.sources.store import append, commit, read_hotel, read_table, write_hotel
 from innsight.tables import Delta, Hotel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,6 +211,54 @@ def _appliers() -> dict[str, Query]:
     return {**{name: _on_hotel(build) for name, build in stored.items()}, **batches}
 
 
+def _stored(spark: SparkSession, sf_dir: str, *names: str) -> tuple[Hotel, str]:
+    """Some tables of the fixture hotel, stored in a folder of their own and read back."""
+    root = streaming.work_dir(spark, "hotel")
+    hotel = fixture_hotel(spark, sf_dir)
+    write_hotel(Hotel(spark, {name: (lambda name=name: hotel.table(name)) for name in names}), root)
+    return read_hotel(spark, root), root
+
+
+def _read_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookings of the last year, from the months that hold them."""
+    _, root = _stored(spark, sf_dir, "reservacion")
+    return read_table(spark, root, "reservacion", P.last_year.start, P.last_year.end).drop("mes")
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices appended in two batches, those due and those paid."""
+    path = streaming.work_dir(spark, "appended")
+    invoices = fixture_hotel(spark, sf_dir).factura
+    append(invoices.filter("estado_factura <> 'pagada'"), path)
+    append(invoices.filter("estado_factura = 'pagada'"), path)
+    return spark.read.schema(invoices.schema).parquet(path)
+
+
+def _updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored bookings after those that nobody came for have expired."""
+    hotel, root = _stored(spark, sf_dir, "reservacion", "estancia")
+    return commit(hotel, plans.expire_bookings(hotel, P.hoy), root).reservacion
+
+
+def _inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored members after two enrolments of every payer."""
+    hotel, root = _stored(spark, sf_dir, "cliente_vip", "huesped_facturador")
+    everybody = hotel.replace(cliente_vip=hotel.cliente_vip.limit(0))
+    fresh = plans.enrol_vip(everybody, hotel.huesped_facturador, P.hoy).inserts["cliente_vip"]
+    # a member's own key, so that a payer who is enrolled already is absent only once
+    delta = Delta(inserts={"cliente_vip": fresh.withColumn("id_vip", F.col("id_huesped_facturador"))})
+    return commit(commit(hotel, delta, root), delta, root).cliente_vip
+
+
+def _storage() -> dict[str, Query]:
+    return {
+        "src_read_stored": _read_stored,
+        "snk1_append": _appended,
+        "snk2_update": _updated,
+        "snk3_insert_if_absent": _inserted,
+    }
+
+
 def _stream_room_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = streaming.RoomLog(spark, streaming.work_dir(spark, "room-log"))
     log.run(stream_room_events(spark, sf_dir))
@@ -248,4 +297,4 @@ def _streams() -> dict[str, Query]:
 
 def queries() -> dict[str, Query]:
     builds = {**_reports(), **_upkeep()}
-    return {**{name: _on_hotel(build) for name, build in builds.items()}, **_appliers(), **_streams()}
+    return {**{name: _on_hotel(build) for name, build in builds.items()}, **_appliers(), **_storage(), **_streams()}

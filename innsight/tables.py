@@ -21,11 +21,13 @@ class Hotel:
     only the scans it needs.
     """
 
-    def __init__(self, spark: SparkSession, loaders: Mapping[str, Loader]):
+    def __init__(self, spark: SparkSession, loaders: Mapping[str, Loader], version: int | None = None):
         unknown = set(loaders) - set(TABLES)
         if unknown:
             raise KeyError(f"unknown tables: {sorted(unknown)}")
         self.spark = spark
+        #: of a stored hotel, the version it was read from
+        self.version = version
         self._loaders = dict(loaders)
         self._built: dict[str, DataFrame] = {}
 
@@ -46,7 +48,7 @@ class Hotel:
         """A new version in which the given tables stand in for the old ones."""
         loaders = dict(self._loaders)
         loaders.update({name: (lambda df=df: df) for name, df in tables.items()})
-        return Hotel(self.spark, loaders)
+        return Hotel(self.spark, loaders, self.version)
 
     def apply(self, delta: Delta) -> Hotel:
         """The version after ``delta``: new rows appended, changed rows replaced."""

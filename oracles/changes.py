@@ -233,6 +233,15 @@ CHANGES: dict[str, str] = {
     "t_i_service_prices": "SELECT * FROM servicio WHERE NOT precio <= 0",
     "t_i_consumption_rejected": """SELECT request_id, 'invalid_quantity' AS motivo_rechazo FROM pedido
         WHERE cantidad <= 0""",
+    "src_read_stored": f"""SELECT * FROM reservacion
+        WHERE fecha_inicio BETWEEN CAST({HOY} - INTERVAL 1 YEAR AS DATE) AND {HOY}""",
+    "snk1_append": "SELECT * FROM factura",
+    "snk2_update": f"""SELECT r.* REPLACE (CASE WHEN estado IN ('pendiente', 'confirmada') AND fecha_inicio < {HOY}
+          AND id_reservacion NOT IN (SELECT id_reservacion FROM estancia) THEN 'expirada' ELSE estado END AS estado)
+        FROM reservacion r""",
+    "snk3_insert_if_absent": f"""SELECT * FROM cliente_vip UNION ALL
+        SELECT id_huesped_facturador, id_huesped_facturador, 'bronce', 0, 0, {HOY} FROM huesped_facturador
+        WHERE id_huesped_facturador NOT IN (SELECT id_vip FROM cliente_vip)""",
     "s1_room_state_log": """SELECT request_id, id_habitacion, antes AS estado_anterior, estado AS estado_nuevo,
         fecha_hora FROM cambio WHERE antes <> estado
           AND fecha_hora <= (SELECT max(fecha_hora) FROM suceso) - INTERVAL 1 HOUR""",

@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 import datetime as dt
+import pathlib
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from innsight import Delta, plans
 from innsight.params import Params, Window, add_months
 from innsight.schemas import TABLES
-from innsight.sources.store import append, commit, insert_if_absent, read_hotel, upsert, write_hotel
+from innsight.sources import store
+from innsight.sources.store import (
+    CommitConflict,
+    append,
+    commit,
+    insert_if_absent,
+    read_hotel,
+    read_table,
+    upsert,
+    write_hotel,
+)
 
 
 def test_constraint_inventory():
@@ -71,3 +84,112 @@ def test_keyed_writes(spark, tmp_path):
     append(base, str(tmp_path / "t"))
     append(delta, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    twice = spark.createDataFrame([(4, "y"), (4, "x"), (1, "z")], "k long, v string")
+    assert [tuple(r) for r in insert_if_absent(base, twice, "k").collect()] == [(4, "x")]
+
+
+def _state(hotel, room, state):
+    rows = hotel.habitacion.filter(F.col("id_habitacion") == room).withColumn("estado", F.lit(state))
+    return Delta(updates={"habitacion": rows})
+
+
+def test_two_writers(spark, seed, tmp_path):
+    root = str(tmp_path)
+    write_hotel(seed, root)
+    with pytest.raises(CommitConflict):
+        write_hotel(seed, root)
+    one, two = read_hotel(spark, root), read_hotel(spark, root)
+    assert commit(one, _state(one, 1, "limpieza"), root).version == 1
+    # another row: put on top; the same row: refused, and nothing changes
+    assert commit(two, _state(two, 2, "limpieza"), root).version == 2
+    with pytest.raises(CommitConflict):
+        commit(two, _state(two, 1, "mantenimiento"), root)
+    last = read_hotel(spark, root)
+    assert last.version == 2
+    states = {r.id_habitacion: r.estado for r in last.habitacion.filter("id_habitacion <= 2").collect()}
+    assert states == {1: "limpieza", 2: "limpieza"}
+    assert read_hotel(spark, root, 0).habitacion.filter("id_habitacion = 1").first().estado != "limpieza"
+
+
+def test_writers_that_publish_at_the_same_moment(spark, seed, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    write_hotel(seed, root)
+    hotel, publish, between = read_hotel(spark, root), store._publish, []
+
+    def late(*args):
+        if not between:
+            between.append(None)
+            commit(read_hotel(spark, root), _state(hotel, 3, "limpieza"), root)
+        return publish(*args)
+
+    monkeypatch.setattr(store, "_publish", late)
+    after = commit(hotel, _state(hotel, 4, "limpieza"), root)
+    states = {r.id_habitacion: r.estado for r in after.habitacion.filter("id_habitacion in (3, 4)").collect()}
+    assert after.version == 2 and states == {3: "limpieza", 4: "limpieza"}
+
+
+def test_crash_before_publishing(spark, seed, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    write_hotel(seed, root)
+    hotel = read_hotel(spark, root)
+
+    def crash(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "_publish", crash)
+        with pytest.raises(KeyboardInterrupt):
+            commit(hotel, _state(hotel, 5, "limpieza"), root)
+    again = read_hotel(spark, root)
+    assert again.version == 0 and again.habitacion.filter("id_habitacion = 5").first().estado != "limpieza"
+    assert again.habitacion.count() == seed.habitacion.count()
+    assert commit(again, _state(again, 5, "limpieza"), root).version == 1
+
+
+def _files(root, table):
+    return {str(p) for p in pathlib.Path(root, table).rglob("*.parquet")}
+
+
+def test_an_update_rewrites_its_months_only(spark, seed, tmp_path):
+    root = str(tmp_path)
+    write_hotel(seed, root)
+    hotel = read_hotel(spark, root)
+    before = _files(root, "reservacion")
+    day = hotel.reservacion.agg(F.max("fecha_inicio")).first()[0]
+    rows = hotel.reservacion.filter(F.col("fecha_inicio") == F.lit(day)).withColumn("estado", F.lit("expirada"))
+    after = commit(hotel, Delta(updates={"reservacion": rows}), root)
+    fresh = _files(root, "reservacion") - before
+    assert {re.search("mes=([0-9]+)", p)[1] for p in fresh} == {f"{day:%Y%m}"}
+    read = {p.removeprefix("file://") for p in after.reservacion.inputFiles()}
+    assert read - fresh == {p for p in before if f"mes={day:%Y%m}" not in p}
+    assert after.reservacion.count() == hotel.reservacion.count()
+    # a changed date moves the row to another month
+    moved = rows.withColumn("fecha_inicio", F.add_months("fecha_inicio", 1)).withColumn("fecha_salida", F.add_months("fecha_salida", 1))
+    last = commit(after, Delta(updates={"reservacion": moved}), root)
+    assert last.reservacion.count() == hotel.reservacion.count()
+    assert last.reservacion.filter(F.col("fecha_inicio") == F.lit(day)).isEmpty()
+
+
+def test_months_outside_are_not_read(spark, seed, tmp_path):
+    root = str(tmp_path)
+    write_hotel(seed, root)
+    start, end = dt.date(2026, 3, 10), dt.date(2026, 5, 1)
+    rows = read_table(spark, root, "reservacion", start, end)
+    wanted = seed.reservacion.filter(F.col("fecha_inicio").between(F.lit(start), F.lit(dt.date(2026, 4, 30))))
+    assert sorted(rows.drop("mes").collect()) == sorted(wanted.collect())
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(mes" in plan
+    read = rows._jdf.queryExecution().executedPlan()
+    assert rows.count() == wanted.count() and "PushedFilters: [IsNotNull(fecha_inicio)" in plan and read is not None
+    some = spark.range(1).select(F.lit(202604).alias("mes"), F.lit("x").alias("nombre")).filter("nombre = 'x'")
+    joined = read_table(spark, root, "reservacion").join(F.broadcast(some), "mes")
+    assert joined.count() == seed.reservacion.filter("date_format(fecha_inicio, 'yyyyMM') = '202604'").count()
+
+
+def test_rows_without_a_date(spark, seed, tmp_path):
+    root = str(tmp_path)
+    rows = seed.reservacion.withColumn("fecha_inicio", F.when(F.col("id_reservacion") > 3, F.col("fecha_inicio")))
+    write_hotel(seed.replace(reservacion=rows, pago=seed.pago.limit(0)), root)
+    hotel = read_hotel(spark, root)
+    assert hotel.reservacion.filter("fecha_inicio is null").count() == 3 and hotel.pago.count() == 0
+    assert hotel.reservacion.schema.names == seed.reservacion.schema.names
