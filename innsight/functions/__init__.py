@@ -7,6 +7,7 @@ from innsight.functions.expressions import (
     half_open,
     hours_between,
     money,
+    month_nights,
     month_of,
     nights,
     ntz,
@@ -25,6 +26,7 @@ __all__ = [
     "half_open",
     "hours_between",
     "money",
+    "month_nights",
     "month_of",
     "nights",
     "ntz",

@@ -74,6 +74,21 @@ def nights(start: str, end: str) -> Column:
     )
 
 
+def month_nights(start: str, end: str) -> Column:
+    """Exploded ``{mes, mascara}`` per month that ``[start, end)`` touches: one bit per night, the first of a month lowest."""
+    first = F.trunc(F.col(start), "month")
+    months = F.when(F.col(end) > F.col(start), F.sequence(first, F.date_sub(F.col(end), 1), F.expr("interval 1 month")))
+
+    def bits(month: Column) -> Column:
+        low = F.greatest(F.datediff(F.col(start), month), F.lit(0))
+        high = F.least(F.datediff(F.col(end), month), F.dayofmonth(F.last_day(month)))
+        one = F.lit(1).cast("long")
+        nights = F.call_function("shiftleft", one, high) - F.call_function("shiftleft", one, low)
+        return F.struct(month.alias("mes"), nights.alias("mascara"))
+
+    return F.explode(F.transform(months, bits))
+
+
 def ntz(moment: dt.datetime) -> Column:
     """A zone-less timestamp literal, whatever the zone of driver or session."""
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")

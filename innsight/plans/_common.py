@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions import nights
+from innsight.functions import month_nights, nights
 from innsight.schemas import RESERVA_LIBERADA
 from innsight.session import checkpoint
 from innsight.tables import Hotel
@@ -100,6 +100,25 @@ def live_bookings(hotel: Hotel, span: DataFrame | None = None) -> DataFrame:
     return live
 
 
+def held_months(hotel: Hotel, spans: DataFrame) -> DataFrame:
+    """Calendar of the rooms and dates of ``spans``: one row per (room, month) with a bit per held night.
+
+    Only bookings of asked rooms, between the earliest and the latest asked date,
+    are read into it; each makes one row per month it touches.
+    """
+    first, last = spans.agg(F.min("fecha_inicio"), F.max("fecha_salida")).first()
+    live = hotel.reservacion.filter(~F.col("estado").isin(*RESERVA_LIBERADA))
+    live = live.filter((F.col("fecha_inicio") < F.lit(last)) & (F.col("fecha_salida") > F.lit(first)))
+    rooms = hotel.reservacion_habitacion.select("id_reservacion", "id_habitacion")
+    return (
+        rooms.join(spans.select("id_habitacion").distinct(), "id_habitacion", "left_semi")
+        .join(live.select("id_reservacion", "fecha_inicio", "fecha_salida"), "id_reservacion")
+        .select("id_habitacion", month_nights("fecha_inicio", "fecha_salida").alias("m"))
+        .groupBy("id_habitacion", F.col("m.mes").alias("mes"))
+        .agg(F.bit_or("m.mascara").alias("ocupadas"))
+    )
+
+
 def held_room_nights(hotel: Hotel, span: DataFrame | None = None) -> DataFrame:
     """One row per held (room, night), with the lowest and highest booking holding it."""
     rooms = hotel.reservacion_habitacion.select("id_reservacion", "id_habitacion")

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
+from bisect import bisect_left
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions import money, nights
+from innsight.functions import money, month_nights
 from innsight.plans._common import (
-    ROOM_NIGHT,
     arrival_order,
     dedupe_requests,
     first_reason,
-    held_room_nights,
+    held_months,
     known,
     new_id,
     split,
@@ -49,13 +50,16 @@ def check_availability(hotel: Hotel, requests: DataFrame) -> DataFrame:
 def _judge_availability(hotel: Hotel, requests: DataFrame) -> DataFrame:
     """Availability and the room's price.
 
-    Equal requests are tested once; a test asks whether one of the room-nights
-    wanted is held, so no pair of intervals is ever formed.
+    Equal requests are tested once, month by month: wanted nights and the room's
+    held nights are bitmaps, and a common bit means that the room is taken. No
+    pair of intervals is ever formed, and no booking is spread over its nights.
     """
-    spans = requests.filter(valid_range()).select(*SPAN).distinct()
+    spans = checkpoint(requests.filter(valid_range()).select(*SPAN).distinct())
     taken = (
-        spans.withColumn("noche", F.explode(nights("fecha_inicio", "fecha_salida")))
-        .join(held_room_nights(hotel, spans), ROOM_NIGHT, "left_semi")
+        spans.select(*SPAN, month_nights("fecha_inicio", "fecha_salida").alias("m"))
+        .join(held_months(hotel, spans).withColumnRenamed("mes", "m_mes").withColumnRenamed("id_habitacion", "m_cuarto"),
+              (F.col("id_habitacion") == F.col("m_cuarto")) & (F.col("m.mes") == F.col("m_mes")))
+        .filter(F.col("m.mascara").bitwiseAND(F.col("ocupadas")) != 0)
         .select(*SPAN)
         .distinct()
         .withColumn("_tomada", F.lit(True))
@@ -77,42 +81,42 @@ def _judge_availability(hotel: Hotel, requests: DataFrame) -> DataFrame:
     )
 
 
+def _granting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids granted among requests sorted by room and arrival; a task holds the granted nights of one room at a time."""
+    room, starts, ends = object(), [], []
+    for batch in batches:
+        granted = []
+        columns = [batch.column(n).to_pylist() for n in ("id_habitacion", "ini", "fin")]
+        for i, (here, ini, fin) in enumerate(zip(*columns, strict=True)):
+            if here != room:
+                room, starts, ends = here, [], []
+            at = bisect_left(ends, ini + 1)  # the first granted stay that ends after this one begins
+            if at == len(starts) or starts[at] >= fin:
+                starts.insert(at, ini)
+                ends.insert(at, fin)
+                granted.append(i)
+        yield pa.RecordBatch.from_arrays([batch.column("request_id").take(pa.array(granted, pa.int64()))], ["request_id"])
+
+
 def first_come(requests: DataFrame) -> DataFrame:
     """Requests (request_id, arrival, room and dates) granted in order of arrival.
 
     A request is granted when no earlier granted request shares one of its
-    room-nights. Each round grants the requests that are earliest on all of
-    their nights and retires those that share a night with them; what is left
-    goes to the next round. A request without nights is never granted. Rounds end when nothing is left: at least one
-    request per contested room is decided in each, and under random arrival
-    their number grows with the logarithm of the batch.
+    room-nights; a request without nights is never granted. Of requests for the
+    same room and dates only the earliest can be, so each task reduces them
+    first: what is left of a room is bounded by the calendar, however many ask
+    for it. The requests of a room are then settled in one pass in order of
+    arrival, whatever the depth of their conflicts.
     """
-    pending = checkpoint(requests.filter(valid_range()).select("request_id", "arrival", *SPAN))
-    granted = []
-    while not pending.isEmpty():
-        wanted = pending.select(
-            "request_id",
-            arrival_order().alias("orden"),
-            "id_habitacion",
-            F.explode(nights("fecha_inicio", "fecha_salida")).alias("noche"),
-        )
-        earliest = wanted.groupBy(*ROOM_NIGHT).agg(F.min("orden").alias("primero"))
-        wins = (
-            wanted.join(earliest, ROOM_NIGHT)
-            .groupBy("request_id")
-            .agg(F.bool_and(F.col("orden") == F.col("primero")).alias("gana"))
-            .filter("gana")
-        )
-        gone = wanted.join(wins, "request_id", "left_semi").select(*ROOM_NIGHT)
-        touched = wanted.join(gone, ROOM_NIGHT, "left_semi").select("request_id").distinct()
-        decided = checkpoint(
-            pending.join(wins, "request_id", "left").join(
-                touched.withColumn("_tocada", F.lit(True)), "request_id", "left"
-            )
-        )
-        granted.append(decided.filter("gana").select("request_id"))
-        pending = decided.filter(F.col("_tocada").isNull()).drop("gana", "_tocada")
-    return reduce(DataFrame.unionByName, granted, requests.select("request_id").limit(0))
+    order = arrival_order()
+    first = (
+        requests.filter(valid_range()).groupBy(*SPAN).agg(F.min(order).alias("o"))
+        .select("id_habitacion", F.unix_date("fecha_inicio").alias("ini"), F.unix_date("fecha_salida").alias("fin"), "o")
+    )
+    sorted_rooms = first.repartition("id_habitacion").sortWithinPartitions("id_habitacion", "o")
+    kind = requests.schema["request_id"].dataType.simpleString()
+    rows = sorted_rooms.select("id_habitacion", "ini", "fin", F.col("o.request_id").alias("request_id"))
+    return rows.mapInArrow(_granting, f"request_id {kind}")
 
 
 def book(hotel: Hotel, requests: DataFrame) -> Delta:
@@ -145,7 +149,7 @@ def book(hotel: Hotel, requests: DataFrame) -> Delta:
     )
     judged = checkpoint(judged)
     candidates, refused = split(judged)
-    granted = first_come(candidates)
+    granted = checkpoint(first_come(candidates))
     accepted = candidates.join(granted, "request_id", "left_semi")
     late = candidates.join(granted, "request_id", "left_anti").select(
         "request_id", F.lit("taken_in_batch").alias("motivo_rechazo")

@@ -66,6 +66,52 @@ def test_first_come_resolves_a_staircase(spark):
     assert got == {0, 2, 4, 6, 8}
 
 
+def test_a_long_staircase_takes_no_more_jobs(spark):
+    def jobs(n):
+        requests = [(i, T0 + dt.timedelta(minutes=i), 1, day(i), day(i + 2)) for i in range(n)]
+        frame = spark.createDataFrame(requests, REQUEST)
+        spark.sparkContext.setJobGroup(f"staircase-{n}", "")
+        got = {r[0] for r in plans.first_come(frame).collect()}
+        assert got == set(range(0, n, 2))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"staircase-{n}"))
+
+    assert jobs(200) == jobs(9)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_many_requests_for_one_room(spark):
+    """A room that all ask for, and repeated requests: only the earliest of equal ones is kept on the way."""
+    rng = random.Random(8)
+    requests = []
+    for i in range(3000):
+        start = rng.randrange(40)
+        arrival = None if i % 500 == 7 else T0 + dt.timedelta(minutes=rng.randrange(900))
+        requests.append((i, arrival, None if i % 3 == 0 else 1, day(start), day(start + rng.randrange(6))))
+    granted: dict = {}
+    for i, arrival, room, a, b in sorted(requests, key=lambda r: (r[1] is not None, r[1] or T0, r[0])):
+        if a < b and not any(a < y and b > x for x, y, _ in granted.get(room, ())):
+            granted.setdefault(room, []).append((a, b, i))
+    got = {r[0] for r in plans.first_come(spark.createDataFrame(requests, REQUEST).repartition(8)).collect()}
+    assert got == {i for found in granted.values() for *_, i in found}
+
+
+def test_calendar_of_months(spark, seed):
+    """Stays over month and year ends, of a single night and of many months, against the nights themselves."""
+    rng = random.Random(4)
+    hotel = seed.replace(
+        reservacion=seed.reservacion.withColumn("fecha_salida", F.date_add("fecha_inicio", (F.col("id_reservacion") % 97).cast("int")))
+    )
+    spans = [(i, 1 + rng.randrange(50), rng.randrange(-200, 200), rng.choice([1, 2, 31, 70])) for i in range(400)]
+    rows = [(i, T0, room, day(a), day(a + n)) for i, room, a, n in spans]
+    got = dict(rows_of(plans.check_availability(hotel, spark.createDataFrame(rows, REQUEST)), "request_id", "disponible"))
+    stays = hotel.reservacion.filter("estado not in ('cancelada', 'expirada')").drop("subtotal")
+    held = rows_of(hotel.reservacion_habitacion.join(stays, "id_reservacion"), "id_habitacion", "fecha_inicio", "fecha_salida")
+    state = dict(rows_of(hotel.habitacion, "id_habitacion", "estado"))
+    for i, room, a, n in spans:
+        busy = state[room] in ("mantenimiento", "fuera_de_servicio")
+        assert got[i] == (not busy and not any(r == room and x < day(a + n) and y > day(a) and x < y for r, x, y in held))
+
+
 def booking_requests(spark, spans):
     rows = [
         (i, T0 + dt.timedelta(minutes=i), guest, guest, 1, start, end, method, room)
