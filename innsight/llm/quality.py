@@ -17,23 +17,29 @@ SYMBOLS = b"#*$%&|<>"
 #: A line that closes with none of these, with or without closing quotes and brackets, isn't a sentence.
 END_MARKS = (b".", b"!", b"?", b":", b";", "…".encode(), "。".encode(), "！".encode(), "？".encode(), "؟".encode(), "।".encode())
 CLOSERS = b"\"')]}*_" + "”’»".encode()
-#: Parts of lower-cased lines that belong to a page and not to its text.
-BOILERPLATE = (
-    b"javascript",
-    b"cookie",
-    b"lorem ipsum",
-    b"privacy policy",
-    b"terms of use",
-    b"terms of service",
-    b"all rights reserved",
-    b"click here",
-    b"sign up",
-    b"log in",
-    b"subscribe to our",
-    b"skip to content",
-    b"share this",
-    b"read more",
-)
+#: Notices of a page, wherever they stand in a line, in the languages of the tables.
+NOTICES = (
+    "javascript", "lorem ipsum", "privacy policy", "terms of use", "terms of service", "all rights reserved",
+    "we use cookies", "accept cookies", "accept all cookies", "cookie policy", "cookie settings",
+    "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "cookies akzeptieren",
+    "politique de confidentialité", "conditions d'utilisation", "tous droits réservés", "accepter les cookies",
+    "política de privacidad", "condiciones de uso", "todos los derechos reservados", "aceptar cookies",
+)
+#: Labels of links and buttons: only a line of few words is one.
+LABELS = (
+    "click here", "sign up", "sign in", "log in", "read more", "skip to content", "share this", "subscribe",
+    "weiterlesen", "anmelden", "mehr erfahren", "zum inhalt",
+    "lire la suite", "se connecter", "s'inscrire", "cliquez ici",
+    "leer más", "iniciar sesión", "registrarse", "haga clic",
+)
+
+
+def _as_words(phrases: tuple[str, ...]) -> re.Pattern[bytes]:
+    """Any of ``phrases`` between word ends; letters beyond ASCII count as letters."""
+    return re.compile(rb"(?<![\w\x80-\xff])(?:" + "|".join(map(re.escape, phrases)).encode() + rb")(?![\w\x80-\xff])")
+
+
+NOTICE, LABEL = _as_words(NOTICES), _as_words(LABELS)
 NAVIGATION = re.compile(rb" (?:\||>|/|\xc2\xbb|\xe2\x80\xba|\xc2\xb7|\xe2\x80\xa2) ")
 SHOUTS = re.compile(rb"[!?]{2,}")
 
@@ -43,7 +49,9 @@ class Rules:
     """Limits of the base and of the line rules.
 
     ``least_words``, ``repeated_percent``: the base. ``separators``: so many
-    navigation separators, or more, make a line navigation. ``symbol_percent``,
+    navigation separators, or more, make a line navigation, and so do so many
+    words, ``menu_words``, that are all capitalised without a mark between them.
+    ``label_words``: a line of so many words at most may be a link's label. ``symbol_percent``,
     ``shout_percent``: so many symbols, or doubled exclamation or question
     marks, for each hundred words spoil a line. ``unended_words``: a line of so
     many words or more may go without an end mark, as prose is sometimes cut
@@ -54,6 +62,8 @@ class Rules:
     least_words: int = 10
     repeated_percent: int = 20
     separators: int = 2
+    menu_words: int = 5
+    label_words: int = 5
     symbol_percent: int = 50
     shout_percent: int = 30
     unended_words: int = 4
@@ -63,10 +73,12 @@ class Rules:
 def line_fault(line: bytes, words: list[bytes], rules: Rules) -> str | None:
     """The first rule that ``line`` breaks: boilerplate, navigation, symbols, shouting or punctuation."""
     low = line.lower()
-    if any(mark in low for mark in BOILERPLATE):
+    if NOTICE.search(low) or (len(words) <= rules.label_words and LABEL.search(low)):
         return "boilerplate"
     if len(NAVIGATION.findall(line)) >= rules.separators:
         return "navigation"
+    if len(words) >= rules.menu_words and all(w[:1].isupper() and w.isalpha() for w in words):
+        return "navigation"
     if 100 * sum(map(line.count, _SYMBOL_BYTES)) > rules.symbol_percent * len(words):
         return "symbols"
     if 100 * len(SHOUTS.findall(line)) > rules.shout_percent * len(words):
@@ -96,7 +108,7 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
 
 
 def judge(text: str | None, rules: Rules) -> tuple:
-    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines_failed, lost_chars, base_failed, kept, cleaned``."""
+    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines_failed, lost_chars, cleaned``."""
     raw = (text or "").encode()
     words = raw.split()
     chars = len(b"".join(words).decode())
@@ -120,10 +132,12 @@ def judge(text: str | None, rules: Rules) -> tuple:
     base_failed = len(words) < rules.least_words or 100 * again > rules.repeated_percent * len(words)
     kept = not base_failed and 100 * lost <= rules.lost_percent * chars
     cleaned = b"\n".join(left).decode()
-    return len(words), chars, n_symbols, repeats, again, failed, lost, base_failed, kept, cleaned
+    return len(words), chars, n_symbols, repeats, again, base_failed, kept, failed, lost, cleaned
 
 
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_failed", "lost_chars")
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_VERDICT = ("base_failed", "kept")
+_LINES = ("n_lines_failed", "lost_chars")
 
 
 def clean_documents(
@@ -144,9 +158,10 @@ def clean_documents(
     none. Nothing is shuffled. Further columns of the input are ignored.
     """
     kind = column_type(documents, id_column)
-    names = [*_COUNTS, "base_failed", "kept", *(["cleaned"] if with_text else [])]
-    types = [pa.int64()] * len(_COUNTS) + [pa.bool_(), pa.bool_(), pa.string()]
-    ddl = f"_id {kind}, {', '.join(f'{n} long' for n in _COUNTS)}, base_failed boolean, kept boolean"
+    names = [*_COUNTS, *_VERDICT, *_LINES, *(["cleaned"] if with_text else [])]
+    types = [pa.bool_() if n in _VERDICT else pa.string() if n == "cleaned" else pa.int64() for n in (*names, "cleaned")]
+    kinds = {n: "boolean" if n in _VERDICT else "string" if n == "cleaned" else "long" for n in names}
+    ddl = f"_id {kind}, {', '.join(f'{n} {k}' for n, k in kinds.items())}"
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -157,6 +172,6 @@ def clean_documents(
 
     return (
         documents.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-        .mapInArrow(judged, ddl + (", cleaned string" if with_text else ""))
+        .mapInArrow(judged, ddl)
         .withColumnRenamed("_id", id_column)
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -190,6 +191,15 @@ def test_quality_counts(awkward, nothing):
         ("buy### this$$$ now%%% here***", "symbols"),
         ("WIN!! NOW!! HERE!!", "shouting"),
         ("Next page", "punctuation"),
+        ("Home About Contact Products Support Careers Imprint", "navigation"),
+        ("Read more", "boilerplate"),
+        ("Jetzt anmelden", "boilerplate"),
+        ("Tous droits réservés.", "boilerplate"),
+        ("The blog in question has moved on.", None),
+        ("Several design upgrades were made last year.", None),
+        ("Then spread more butter on the bread.", None),
+        ("Bake each cookie for ten minutes.", None),
+        ("You have to log in before the meeting can begin.", None),
         ("He said: “Come in.”", None),
         ("A long line that ends without a mark", None),
     ],
@@ -202,9 +212,43 @@ def test_quality_removes_lines_and_judges_loss():
     good = "This sentence is a plain one and it has ten words."
     menu = "Home | News | Sport | About"
     other = "Here is another line, which says something else."
-    *_, kept, cleaned = quality.judge(f"{menu}\n{good}\n\n{other}", quality.Rules())
+    *_, kept, _, _, cleaned = quality.judge(f"{menu}\n{good}\n\n{other}", quality.Rules())
     assert kept and cleaned == f"{good}\n\n{other}"
-    assert not quality.judge("\n".join([good, *[f"{menu} {i} | {i} | {i} | {i} | {i}" for i in range(5)]]), quality.Rules())[-2]
+    assert not quality.judge("\n".join([good, *[f"{menu} {i} | {i} | {i} | {i} | {i}" for i in range(5)]]), quality.Rules())[-4]
+
+
+def _plain_verdict(text, rules):
+    """``kept`` and the cleaned text by rules written out once more."""
+    blanks = " \t\n\v\f\r"
+    words_of = lambda t: [w for w in re.split(f"[{blanks}]+", t) if w]
+    words, left, lost = words_of(text), [], 0
+    for line in text.split("\n"):
+        mine, low = words_of(line), "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
+        has = lambda p: re.search(rf"(?<!\w){re.escape(p)}(?!\w)", low)  # noqa: E731, B023
+        bad = bool(mine) and (
+            any(map(has, quality.NOTICES))
+            or (len(mine) <= rules.label_words and any(map(has, quality.LABELS)))
+            or sum(line.count(f" {x} ") for x in "|>/»›·•") >= rules.separators
+            or (len(mine) >= rules.menu_words and all(re.fullmatch("[A-Z][A-Za-z]*", w) for w in mine))
+            or 100 * sum(c in "#*$%&|<>" for c in line) > rules.symbol_percent * len(mine)
+            or 100 * len(re.findall("[!?]{2,}", line)) > rules.shout_percent * len(mine)
+            or (len(mine) < rules.unended_words and not re.search("[.!?:;…。！？؟।][\"')\\]}*_”’»]*$", line.rstrip(blanks)))
+        )
+        if bad:
+            lost += sum(map(len, mine))
+        else:
+            left.append(line)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    twice = Counter(windows)
+    inside = {i + k for i, w in enumerate(windows) if twice[w] > 1 for k in range(5)}
+    failed = len(words) < rules.least_words or 100 * len(inside) > rules.repeated_percent * len(words)
+    return not failed and 100 * lost <= rules.lost_percent * sum(map(len, words)), "\n".join(left)
+
+
+def test_quality_verdict_on_all_documents(documents):
+    for text in [r.text or "" for r in documents.select("text").collect()]:
+        got = quality.judge(text, quality.Rules())
+        assert (got[6], got[9]) == _plain_verdict(text, quality.Rules())
 
 
 # language -----------------------------------------------------------------
