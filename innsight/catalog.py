@@ -262,7 +262,7 @@ def _storage() -> dict[str, Query]:
 def _stream_room_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = streaming.RoomLog(spark, streaming.work_dir(spark, "room-log"))
     log.run(stream_room_events(spark, sf_dir))
-    return log.log()
+    return log.closed_log()
 
 
 def _stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +283,7 @@ def _stream_validator(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = streaming.work_dir(spark, "windows")
     streaming.run_consumption_windows(stream_consumption(spark, sf_dir), root)
-    return spark.read.parquet(f"{root}/ventanas")
+    return streaming.consumption_windows(spark, root)
 
 
 def _streams() -> dict[str, Query]:

@@ -70,13 +70,15 @@ def checkout(hotel: Hotel, requests: DataFrame, now: dt.datetime, strict: bool =
         "total",
         F.lit("pagada").alias("estado_factura"),
     )
+    # short numbers are padded, longer ones kept whole
+    number = F.col("id_factura").cast("string")
     payments = invoices.select(
         new_id("pago", "id_factura").alias("id_pago"),
         "id_factura",
         today.alias("fecha_pago"),
         F.col("total").alias("monto"),
         F.lit("efectivo").alias("metodo_pago"),
-        F.concat(F.lit("FAST-"), F.lpad(F.col("id_factura").cast("string"), 6, "0")).alias("referencia"),
+        F.concat(F.lit("FAST-"), F.repeat(F.lit("0"), 6 - F.length(number)), number).alias("referencia"),
         F.lit("completado").alias("estado"),
     )
     released = move_rooms(hotel, closing.select("id_habitacion").distinct(), ("ocupada",), "limpieza", ntz(now))

@@ -14,37 +14,52 @@ from innsight.session import checkpoint
 from innsight.tables import Delta, Hotel
 
 
-def previous_value(rows: DataFrame, key: str, order: list[str], value: str, bucket: Column) -> DataFrame:
+def previous_value(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """``rows`` with ``anterior``: the value of the row before it within its key.
 
-    The key's history is cut into time buckets. Inside a bucket a window finds
-    the predecessor; across buckets only the last value of each travels, one row
-    per key and bucket, so one key with a huge history is spread over many tasks.
+    A scan in pieces: rows are dealt by ranges of key and order, so a key with a
+    long history, or with all of its events at one moment, lies in several
+    pieces. Inside a piece a window finds the predecessor; from piece to piece
+    only the last value of each key travels, one row per key and piece. Null
+    keys are one key; nulls in ``order`` come first.
     """
-    bucketed = rows.withColumn("_tramo", bucket)
+    dealt = rows.repartitionByRange(key, *order).withColumn("_tramo", F.spark_partition_id())
+    # ranges are drawn from a sample: both uses below must see the same ones
+    pieces = checkpoint(dealt)
     inside = Window.partitionBy(key, "_tramo").orderBy(*order)
-    closing = bucketed.groupBy(key, "_tramo").agg(F.max(F.struct(*order, value)).alias("_u"))
+    closing = pieces.groupBy(key, "_tramo").agg(F.max(F.struct(*order, value)).alias("_u"))
     carried = closing.select(
-        key,
-        "_tramo",
+        F.col(key).alias("_clave"),
+        F.col("_tramo").alias("_pieza"),
         F.lag(F.col(f"_u.{value}")).over(Window.partitionBy(key).orderBy("_tramo")).alias("_previo"),
     )
+    same = F.col(key).eqNullSafe(F.col("_clave")) & (F.col("_tramo") == F.col("_pieza"))
+    first = F.row_number().over(inside) == 1
     return (
-        bucketed.withColumn("_dentro", F.lag(value).over(inside))
-        .join(carried, [key, "_tramo"])
-        .withColumn("anterior", F.coalesce("_dentro", "_previo"))
-        .drop("_tramo", "_dentro", "_previo")
+        pieces.withColumn("_dentro", F.lag(value).over(inside))
+        .withColumn("_primera", first)
+        .join(carried, same, "left")
+        .withColumn("anterior", F.when(F.col("_primera"), F.col("_previo")).otherwise(F.col("_dentro")))
+        .drop("_tramo", "_dentro", "_previo", "_primera", "_clave", "_pieza")
     )
 
 
-def room_state_log(events: DataFrame, bucket: str = "hour") -> DataFrame:
+def refused_events(events: DataFrame) -> DataFrame:
+    """Events without a room or a time, with their reason: they have no place in a room's history."""
+    reason = first_reason(
+        ("missing_room", F.col("id_habitacion").isNull()), ("missing_time", F.col("fecha_hora").isNull())
+    )
+    return split(events.withColumn("motivo_rechazo", reason))[1]
+
+
+def room_state_log(events: DataFrame) -> DataFrame:
     """Real state changes of an ordered feed (request_id, id_habitacion, estado, fecha_hora).
 
-    The first event of a room sets its state and logs nothing.
+    The first event of a room sets its state and logs nothing. Events without a
+    room or a time are left out (``refused_events``).
     """
-    chained = previous_value(
-        events, "id_habitacion", ["fecha_hora", "request_id"], "estado", F.date_trunc(bucket, "fecha_hora")
-    )
+    placed = events.filter(F.col("id_habitacion").isNotNull() & F.col("fecha_hora").isNotNull())
+    chained = previous_value(placed, "id_habitacion", ["fecha_hora", "request_id"], "estado")
     return chained.filter(F.col("anterior") != F.col("estado")).select(
         "request_id",
         "id_habitacion",
@@ -88,7 +103,7 @@ def move_rooms(hotel: Hotel, rooms: DataFrame, before: tuple[str, ...], after: s
     return Delta(inserts={"bitacora_habitacion": log}, updates={"habitacion": updated})
 
 
-def set_room_state(hotel: Hotel, requests: DataFrame, bucket: str = "hour") -> Delta:
+def set_room_state(hotel: Hotel, requests: DataFrame) -> Delta:
     """Requests (request_id, arrival, id_habitacion, estado, id_empleado, id_reservacion).
 
     The last request per room decides its state; every step on the way is logged.
@@ -106,9 +121,7 @@ def set_room_state(hotel: Hotel, requests: DataFrame, bucket: str = "hour") -> D
         ),
     )
     valid, rejected = split(checkpoint(judged))
-    chained = previous_value(
-        valid, "id_habitacion", ["arrival", "request_id"], "estado", F.date_trunc(bucket, "arrival")
-    )
+    chained = previous_value(valid, "id_habitacion", ["arrival", "request_id"], "estado")
     log = log_rows(
         chained.select(
             "request_id",

@@ -1,8 +1,9 @@
 """Structured Streaming jobs for the logic that follows from single-row changes."""
 
-from innsight.streaming._common import drain, file_stream, work_dir
+from innsight.streaming._common import LatestRows, drain, file_stream, work_dir
 from innsight.streaming.consumption import (
     consumption_by_service_window,
+    consumption_windows,
     run_consumption_validator,
     run_consumption_windows,
 )
@@ -10,10 +11,12 @@ from innsight.streaming.counters import booking_counters, booking_counters_strea
 from innsight.streaming.room_log import RoomLog
 
 __all__ = [
+    "LatestRows",
     "RoomLog",
     "booking_counters",
     "booking_counters_stream",
     "consumption_by_service_window",
+    "consumption_windows",
     "drain",
     "file_stream",
     "run_booking_counters",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innsight.plans.services import validate_consumption
-from innsight.streaming._common import drain, each_batch, put
+from innsight.streaming._common import LatestRows, drain, each_batch, put
 
 
 def run_consumption_validator(consumption: DataFrame, root: str) -> None:
@@ -24,8 +24,7 @@ def consumption_by_service_window(consumption: DataFrame, width: str = "30 days"
     """Uses, units and amount per service and tumbling window.
 
     A watermark needs zoned time, so the zone-less column is cast in front of
-    it. In append mode a window appears once the watermark has passed its end;
-    later rows for it are dropped.
+    it. Rows for a window whose end the watermark has passed are dropped.
     """
     amount = F.col("cantidad") * F.col("precio_unitario")
     return (
@@ -48,7 +47,21 @@ def consumption_by_service_window(consumption: DataFrame, width: str = "30 days"
     )
 
 
+def _windows(spark: SparkSession, root: str) -> LatestRows:
+    schema = (
+        "desde timestamp_ntz, hasta timestamp_ntz, id_servicio long, veces_consumido long, unidades long, "
+        "importe_total decimal(22,2)"
+    )
+    return LatestRows(spark, f"{root}/ventanas", ["desde", "id_servicio"], schema)
+
+
 def run_consumption_windows(consumption: DataFrame, root: str, width: str = "30 days", delay: str = "1 day") -> None:
+    """Consume the available rows; each batch stores the windows it changed, so the last ones of a finished source are there."""
     windows = consumption_by_service_window(consumption, width, delay)
-    writer = windows.writeStream.outputMode("append").format("parquet").option("path", f"{root}/ventanas")
-    drain(writer, f"{root}/control")
+    drain(each_batch(windows, _windows(consumption.sparkSession, root).write, "update"), f"{root}/control")
+
+
+def consumption_windows(spark: SparkSession, root: str) -> DataFrame:
+    """Totals per service and window after the newest batch, open windows included."""
+    rows = _windows(spark, root).read()
+    return rows.select("desde", "hasta", "id_servicio", "veces_consumido", "unidades", "importe_total")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from innsight.functions import vip_level
 from innsight.plans.vip import booking_increments
-from innsight.streaming._common import drain, each_batch, put
+from innsight.streaming._common import LatestRows, drain, each_batch
 
 
 def booking_counters_stream(bookings: DataFrame) -> DataFrame:
@@ -15,23 +15,23 @@ def booking_counters_stream(bookings: DataFrame) -> DataFrame:
     return booking_increments(bookings)
 
 
+def _kept(spark: SparkSession, root: str) -> LatestRows:
+    return LatestRows(
+        spark, f"{root}/contadores", ["id_huesped_facturador"], "id_huesped_facturador long, nuevas long, puntos long"
+    )
+
+
 def run_booking_counters(bookings: DataFrame, root: str) -> None:
     """Consume the available bookings; each batch stores the payers it changed."""
-    counters = booking_counters_stream(bookings)
-    drain(each_batch(counters, lambda rows, batch: put(rows, f"{root}/contadores", batch), "update"), f"{root}/control")
+    kept = _kept(bookings.sparkSession, root)
+    drain(each_batch(booking_counters_stream(bookings), kept.write, "update"), f"{root}/control")
 
 
 def booking_counters(spark: SparkSession, root: str) -> DataFrame:
     """Latest counters per payer with the level they reach."""
-    stored = spark.read.schema("id_huesped_facturador long, nuevas long, puntos long, lote long").parquet(
-        f"{root}/contadores"
-    )
-    latest = stored.groupBy("id_huesped_facturador").agg(
-        F.max(F.struct("lote", "nuevas", "puntos")).alias("u")
-    )
-    return latest.select(
+    return _kept(spark, root).read().select(
         "id_huesped_facturador",
-        F.col("u.nuevas").alias("contador_reservas"),
-        F.col("u.puntos").alias("puntos_acumulados"),
-        vip_level(F.col("u.nuevas"), F.lit("bronce")).alias("nivel_vip"),
+        F.col("nuevas").alias("contador_reservas"),
+        F.col("puntos").alias("puntos_acumulados"),
+        vip_level(F.col("nuevas"), F.lit("bronce")).alias("nivel_vip"),
     )

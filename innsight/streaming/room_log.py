@@ -1,8 +1,9 @@
 """Room-state log kept up to date from a stream of state events.
 
 Each micro-batch runs the batch form of the log, which spreads a busy room over
-many tasks. Two small tables carry over between batches: the last state per
-room and the events still too young to be put in order. Everything a batch
+many tasks. Two tables carry over between batches: the last state per room, of
+which a batch writes the rooms it changed, and the events still too young to be
+put in order. Everything a batch
 writes sits in a folder named after the batch, so a replay after a lost
 executor or driver overwrites its own output and nothing else.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from innsight.functions import ntz
 from innsight.plans.rooms import previous_value
 from innsight.session import checkpoint
-from innsight.streaming._common import drain, each_batch, put
+from innsight.streaming._common import LatestRows, drain, each_batch, put
 
 _EVENTS = "request_id long, id_habitacion long, estado string, fecha_hora timestamp_ntz"
 _STATES = "id_habitacion long, estado string"
@@ -32,7 +33,6 @@ class RoomLog:
     spark: SparkSession
     root: str
     delay: dt.timedelta = dt.timedelta(hours=1)
-    bucket: str = "hour"
 
     def run(self, events: DataFrame) -> None:
         """Consume the available events (request_id, id_habitacion, estado, fecha_hora)."""
@@ -41,6 +41,11 @@ class RoomLog:
     def log(self) -> DataFrame:
         return self._all("bitacora", _LOG)
 
+    def closed_log(self) -> DataFrame:
+        """The log of a source that has ended: pending events have nothing to wait for and are logged, too."""
+        changes = self._changes(self.pending(), self._states().read())
+        return self.log().unionByName(changes.select(*_names(_LOG)))
+
     def late(self) -> DataFrame:
         """Events that came after their time had been closed."""
         return self._all("tardios", _EVENTS)
@@ -66,6 +71,20 @@ class RoomLog:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/lote={batch}")
 
+    def _states(self) -> LatestRows:
+        return LatestRows(self.spark, f"{self.root}/estados", ["id_habitacion"], _STATES)
+
+    def _changes(self, due: DataFrame, states: DataFrame) -> DataFrame:
+        """Real state changes among ``due`` events, given the states before them."""
+        before = states.withColumnRenamed("estado", "_inicial")
+        return (
+            previous_value(due, "id_habitacion", ["fecha_hora", "request_id"], "estado")
+            .join(before, "id_habitacion", "left")
+            .withColumn("estado_anterior", F.coalesce("anterior", "_inicial"))
+            .filter(F.col("estado_anterior") != F.col("estado"))
+            .withColumnRenamed("estado", "estado_nuevo")
+        )
+
     def _batch(self, fresh: DataFrame, batch: int) -> None:
         closed = None
         if batch > 0:
@@ -83,23 +102,13 @@ class RoomLog:
         waiting = self._carried("pendientes", _EVENTS, batch - 1).unionByName(on_time)
         ready = F.lit(False) if horizon is None else F.col("fecha_hora") <= ntz(horizon)
         due, later = waiting.filter(ready), waiting.filter(~ready)
-        states = self._carried("estados", _STATES, batch - 1)
-
-        chained = previous_value(
-            due, "id_habitacion", ["fecha_hora", "request_id"], "estado", F.date_trunc(self.bucket, "fecha_hora")
-        ).join(states.withColumnRenamed("estado", "_inicial"), "id_habitacion", "left")
-        log = (
-            chained.withColumn("estado_anterior", F.coalesce("anterior", "_inicial"))
-            .filter(F.col("estado_anterior") != F.col("estado"))
-            .withColumnRenamed("estado", "estado_nuevo")
-        )
+        log = self._changes(due, self._states().read(batch - 1))
         last = due.groupBy("id_habitacion").agg(
             F.max(F.struct("fecha_hora", "request_id", "estado")).getField("estado").alias("estado")
         )
-        kept = states.join(last.select("id_habitacion"), "id_habitacion", "left_anti").unionByName(last)
         put(log.select(*_names(_LOG)), f"{self.root}/bitacora", batch)
         put(later, f"{self.root}/pendientes", batch)
-        put(kept, f"{self.root}/estados", batch)
+        self._states().write(last, batch)
         marks = self.spark.createDataFrame([(horizon,)], "horizonte timestamp_ntz")
         put(marks, f"{self.root}/horizonte", batch)
 

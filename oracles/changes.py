@@ -243,17 +243,15 @@ CHANGES: dict[str, str] = {
         SELECT id_huesped_facturador, id_huesped_facturador, 'bronce', 0, 0, {HOY} FROM huesped_facturador
         WHERE id_huesped_facturador NOT IN (SELECT id_vip FROM cliente_vip)""",
     "s1_room_state_log": """SELECT request_id, id_habitacion, antes AS estado_anterior, estado AS estado_nuevo,
-        fecha_hora FROM cambio WHERE antes <> estado
-          AND fecha_hora <= (SELECT max(fecha_hora) FROM suceso) - INTERVAL 1 HOUR""",
+        fecha_hora FROM cambio WHERE antes <> estado""",
     "s2_booking_counters": f"""SELECT id_huesped_facturador, n AS contador_reservas, p AS puntos_acumulados,
         {_LEVEL.format(n='n', a=15, b=10, c=5, e="'bronce'")} AS nivel_vip FROM aumento""",
     "s3_consumption_validator": """SELECT request_id, CASE WHEN cantidad <= 0 THEN 'invalid_quantity' END
         AS motivo_rechazo FROM pedido""",
-    "s4_consumption_windows": """WITH corte AS (SELECT max(fecha_hora) - INTERVAL 1 DAY AS w FROM consumo_servicio),
-        tramo AS (SELECT *, TIMESTAMP '1970-01-01' + INTERVAL 30 DAY
+    "s4_consumption_windows": """WITH tramo AS (SELECT *, TIMESTAMP '1970-01-01' + INTERVAL 30 DAY
             * CAST(floor(date_diff('day', DATE '1970-01-01', fecha_hora) / 30) AS INTEGER) AS desde
           FROM consumo_servicio)
         SELECT desde, desde + INTERVAL 30 DAY AS hasta, id_servicio, count(*) AS veces_consumido,
         CAST(sum(cantidad) AS BIGINT) AS unidades, CAST(sum(cantidad * precio_unitario) AS DECIMAL(22,2)) AS importe_total
-        FROM tramo WHERE desde + INTERVAL 30 DAY <= (SELECT w FROM corte) GROUP BY 1, 2, 3""",
+        FROM tramo GROUP BY 1, 2, 3""",
 }

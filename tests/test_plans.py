@@ -237,7 +237,7 @@ def test_checkout(spark, seed):
     assert after.habitacion.filter(f"id_habitacion = {room}").first().estado == "limpieza"
     assert after.cuenta.filter("id_reservacion = 101").first().fecha_cierre == NOW.date()
     paid = after.pago.join(strict.inserts["factura"].select("id_factura"), "id_factura").first()
-    assert paid.referencia.startswith("FAST-") and len(paid.referencia) == 11
+    assert paid.referencia == f"FAST-{paid.id_factura:06d}"
     log = strict.inserts["bitacora_habitacion"].first()
     assert (log.estado_anterior, log.estado_nuevo, log.id_empleado) == ("ocupada", "limpieza", None)
 
@@ -318,12 +318,44 @@ def test_check_in_takes_a_room_once(spark, seed):
     assert rows_of(delta.updates["habitacion"], "id_habitacion", "estado") == [(1, "ocupada")]
 
 
+@pytest.fixture
+def many_pieces(spark):
+    """So few rows would be put into one piece."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_room_with_all_events_of_one_moment(many_pieces):
+    spark = many_pieces
+    rng = random.Random(12)
+    states = ["disponible", "ocupada", None]
+    rows = [(i, None if i % 7 == 0 else 1, rng.choice(states), T0 if i % 5 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "request_id long, id_habitacion long, estado string, fecha_hora timestamp_ntz")
+    chained = previous_value(df.repartition(6), "id_habitacion", ["fecha_hora", "request_id"], "estado")
+    last: dict = {}
+    want = {}
+    for i, room, state, at in sorted(rows, key=lambda r: (r[3] is not None, r[0])):
+        want[i] = last.get(room)
+        last[room] = state
+    assert dict(rows_of(chained, "request_id", "anterior")) == want
+    dealt = df.repartitionByRange("id_habitacion", "fecha_hora", "request_id")
+    sizes = [r["count"] for r in dealt.filter("id_habitacion = 1").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 2000
+    from innsight.plans.rooms import refused_events
+
+    refused = refused_events(df)
+    assert refused.count() == sum(r[1] is None or r[3] is None for r in rows)
+    assert {r.motivo_rechazo for r in refused.collect()} == {"missing_room", "missing_time"}
+    assert plans.room_state_log(df).filter("id_habitacion is null or fecha_hora is null").isEmpty()
+
+
 def test_previous_value_equals_a_plain_history(spark):
     rng = random.Random(5)
     events = [(i, 1 if i % 3 else rng.randrange(4), rng.choice("abc"), T0 + dt.timedelta(hours=rng.randrange(400)))
               for i in range(300)]
     df = spark.createDataFrame(events, "request_id long, id_habitacion long, estado string, fecha_hora timestamp_ntz")
-    got = previous_value(df, "id_habitacion", ["fecha_hora", "request_id"], "estado", F.date_trunc("day", "fecha_hora"))
+    got = previous_value(df, "id_habitacion", ["fecha_hora", "request_id"], "estado")
     last, want = {}, {}
     for rid, room, state, when in sorted(events, key=lambda e: (e[3], e[0])):
         want[rid] = last.get(room)

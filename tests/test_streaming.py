@@ -40,6 +40,7 @@ def test_room_log_with_disorder_over_many_batches(spark, tmp_path):
     assert log.late().count() == 0
     assert log.pending().count() == sum(e[3] > closed for e in events)
     assert rows(log.log()) == rows(plans.room_state_log(whole))
+    assert rows(log.closed_log()) == rows(plans.room_state_log(spark.createDataFrame(events, EVENTS)))
 
 
 def test_room_log_sets_late_events_aside(spark, tmp_path):
@@ -82,7 +83,22 @@ def test_windows_match_a_batch_aggregation(spark, seed, tmp_path):
     seed.consumo_servicio.orderBy("fecha_hora").coalesce(1).write.parquet(folder)
     stream = streaming.file_stream(spark, folder, "*.parquet", seed.consumo_servicio.schema)
     streaming.run_consumption_windows(stream, str(tmp_path / "out"), "7 days")
-    got = spark.read.parquet(str(tmp_path / "out/ventanas"))
-    batch = streaming.consumption_by_service_window(seed.consumo_servicio, "7 days")
-    closed = seed.consumo_servicio.agg(F.max("fecha_hora")).first()[0] - dt.timedelta(days=1)
-    assert rows(got) == [r for r in rows(batch) if r[1] <= closed]
+    got = streaming.consumption_windows(spark, str(tmp_path / "out"))
+    assert rows(got) == rows(streaming.consumption_by_service_window(seed.consumo_servicio, "7 days"))
+
+
+def test_state_follows_what_changed(spark, tmp_path):
+    """Nine batches, whole states every four: readers see the newest rows, old places go, a replay changes nothing."""
+    kept = streaming.LatestRows(spark, str(tmp_path / "estado"), ["k"], "k long, v string", every=4)
+    assert kept.read().count() == 0
+    state: dict = {}
+    for batch in range(9):
+        changed = {k: f"{batch}-{k}" for k in range(batch % 3, 300 if batch == 0 else 3)}
+        state |= changed
+        for _ in range(2 if batch == 4 else 1):
+            kept.write(spark.createDataFrame(list(changed.items()), "k long, v string"), batch)
+        assert dict(rows(kept.read())) == state
+    assert kept._there() == [4, 5, 6, 7, 8]
+    assert dict(rows(kept.read(7)))[299] == "0-299"
+    assert spark.read.parquet(str(tmp_path / "estado/lote=7")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "estado/lote=8")).count() == 300
