@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from innsight.llm._work import kept
+
 #: Unicode's White_Space without the plain blank.
 _BLANKS = "".join(
     map(chr, [*range(0x9, 0xE), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -134,11 +136,13 @@ class Encoder:
         return [len(ids) // 4 for ids in self.encode(texts)]
 
 
-_encoders: dict[str, Encoder] = {}
+#: Name under which a worker keeps its encoders.
+ENCODERS = "encoders"
 
 
 def encoder(path: str) -> Encoder:
-    """The worker process's encoder for ``path``; what it remembers serves later tasks too."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker process's encoder for ``path``; what it remembers serves later tasks of the same kind."""
+    encoders = kept(ENCODERS, dict)
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]

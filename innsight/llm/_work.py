@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,26 @@ def column_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task, until a task that doesn't name it begins."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], rows: int = SLICE, keep: str | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Parts of ``rows`` rows at most; memory that other tasks kept, but for ``keep``, is given back first."""
+    others = [name for name in _kept if name != keep]
+    for name in others:
+        del _kept[name]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

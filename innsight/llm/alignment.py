@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.llm._tokens import _BLANKS
-from innsight.llm._work import column_type, slices, stored
+from innsight.llm._work import column_type, kept, slices, stored
 
 #: Characters of written groups, of the words that a task remembers.
 REMEMBERED = 10_000_000
@@ -256,19 +256,21 @@ class Aligner:
         return running[ends[1:]] - running[ends[:-1]], written, links, np.split(sums, borders)
 
 
-_aligners: dict[tuple[str, str], Aligner] = {}
+#: Name under which a worker keeps its aligners.
+ALIGNERS = "aligners"
 
 
 def aligner_of(a_path: str, b_path: str) -> Aligner:
-    """The worker process's aligner; the frequent words that it remembers serve later tasks too."""
-    if (a_path, b_path) not in _aligners:
-        _aligners[a_path, b_path] = Aligner(a_path, b_path)
-    return _aligners[a_path, b_path]
+    """The worker process's aligner; the frequent words that it remembers serve later tasks of the same kind."""
+    aligners = kept(ALIGNERS, dict)
+    if (a_path, b_path) not in aligners:
+        aligners[a_path, b_path] = Aligner(a_path, b_path)
+    return aligners[a_path, b_path]
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``TEXTS`` rows that hold ``TEXT_BYTES`` of text or one row."""
-    for part in slices(batches, TEXTS):
+    for part in slices(batches, TEXTS, ALIGNERS):
         sizes = pc.fill_null(pc.binary_length(part.column(1)), 0).to_numpy()
         begin, held = 0, 0
         for i, size in enumerate(sizes):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.llm._tokens import encoder
+from innsight.llm._tokens import ENCODERS, encoder
 from innsight.llm._work import column_type, slices, stored
 
 #: Tails packed together by one task.
@@ -107,7 +107,7 @@ def _cutter(tokenizer_path: str, capacity: int, schema: pa.Schema):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         seen: dict = {}
-        for part in slices(batches):
+        for part in slices(batches, keep=ENCODERS):
             ids_of_rows = encode.encode(part.column(1).to_pylist())
             rows: list[tuple] = []
             for key, ids in zip(part.column(0).to_pylist(), ids_of_rows, strict=True):

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm._tokens import encoder, version_of
+from innsight.llm._tokens import ENCODERS, encoder, version_of
 from innsight.llm._work import slices
 
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
@@ -30,7 +30,7 @@ def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
 def _counter(tokenizer_path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        for part in slices(batches):
+        for part in slices(batches, keep=ENCODERS):
             counts = encode.count(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
