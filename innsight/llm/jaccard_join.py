@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from innsight.llm._components import components
+from innsight.llm._rounds import in_company, link_blocks
 from innsight.llm._work import column_type, slices, stored
 from innsight.llm.near_dup import shingle_hashes
 
@@ -20,10 +20,6 @@ FRAGMENTS = 4
 REGION = 2
 #: Bits of a hash that are posted for that, and digests that a task remembers.
 KEY_BITS, REMEMBERED = 48, 100_000
-#: A block of so many members is finished by comparing each with each, times the round's pivots.
-SMALL_BLOCK = 8
-#: By how much the pivots of a block grow from round to round.
-MORE_PIVOTS = 4
 
 
 def _listed(values: list[np.ndarray]) -> pa.Array:
@@ -71,11 +67,6 @@ def _gathered(width: int):
     return run
 
 
-def _in_company(posted: DataFrame) -> DataFrame:
-    """``posted`` under keys that have two members or more, with their number ``n``."""
-    return posted.join(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
-
-
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``row`` of the entries, sorted by ``key``, whose key has another entry."""
     key, row, repeated = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
@@ -122,7 +113,7 @@ def ordered_sets(sets: DataFrame) -> DataFrame:
     single = sets.select("cid", F.size("grams").cast("long").alias("size"), F.explode("grams").alias("key"))
     order = F.expr("shiftleft(n, 32) + shiftrightunsigned(key, 32)")
     return (
-        _in_company(single)
+        in_company(single)
         .groupBy("cid", "size")
         .agg(F.sort_array(F.collect_set(F.struct(order.alias("o"), "key"))).alias("grams"), F.sum("n").alias("weight"))
     )
@@ -193,40 +184,10 @@ def similar(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(blocks: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """``node, component`` of the sets that have a link.
-
-    Rounds, the same for every block. In each, some pivots of a block, those of
-    the largest weight, are compared with all its members of other components,
-    and links join components. A pivot is done with its block; a block whose
-    members are one component is done, too. A block small enough for the round
-    is finished with all pairs between its components. The pivots grow by a
-    factor, so the rounds grow with the logarithm of the largest block; members
-    that all resemble one text, however many, take one pair each.
-    """
-    live = _in_company(blocks).withColumn("comp", F.col("cid"))
-    live, known, pivots = stored(live, "blocks"), None, 1
-    while True:
-        few, many = live.filter(F.col("n") <= SMALL_BLOCK * pivots), live.filter(F.col("n") > SMALL_BLOCK * pivots)
-        salt = F.pmod(F.xxhash64("cid"), F.lit(pivots)).alias("salt")
-        chosen = many.groupBy("key", salt).agg(F.max(F.struct("weight", "cid", "size", "rest", "comp")).alias("p"))
-        chosen = stored(chosen.select("key", "p.*"), "pivots")
-        pairs = _met(few, few, percent).unionByName(_met(chosen, many, percent)).distinct()
-        links = similar(stored(pairs, "pairs"), segments, percent)
-        if known is not None:
-            links = links.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        known = stored(components(links), "components")
-        left = many.join(chosen.select("key", "cid"), ["key", "cid"], "left_anti")
-        named = known.select(F.col("node").alias("cid"), F.col("component").alias("_now"))
-        left = left.drop("n").join(named, "cid", "left").withColumn("comp", F.coalesce("_now", "comp")).drop("_now")
-        left = stored(left, "left")
-        open_blocks = left.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"), F.min("comp").alias("_low"), F.max("comp").alias("_high")
-        )
-        live = left.join(open_blocks.filter("_low <> _high").select("key", "n"), "key")
-        live = stored(live, "blocks")
-        if live.isEmpty():
-            return known
-        pivots *= MORE_PIVOTS
+    """``node, component`` of the sets that have a link (see ``link_blocks``)."""
+    return link_blocks(
+        blocks, lambda left, right: _met(left, right, percent), lambda pairs: similar(pairs, segments, percent)
+    )
 
 
 def join_documents(

@@ -11,18 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.llm._components import components
+from innsight.llm._rounds import in_company, link_blocks
 from innsight.llm._work import column_type, slices, stored
 
 #: Coordinates of a signature, and how many must agree. Two sets of similarity
 #: 0.85 agree in fewer than 40 of 64 with a probability of about 1e-6.
 COORDINATES, LEAST_AGREEING = 64, 40
-#: A block of so many members is compared pair by pair.
-SMALL_BLOCK = 16
-#: Shingles and members of a chunk of a large block; two chunks meet in one task,
-#: whose matrices of pairs then take some 100 MB.
-CHUNK_SHINGLES, CHUNK_MEMBERS = 50_000, 750
-
 _U = np.uint64
 
 
@@ -133,33 +127,6 @@ def blocks_of(classes: DataFrame, coordinates: int, agreeing: int) -> DataFrame:
     return prefix
 
 
-def rarest_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """Postings ``key, cid`` under the rarest shingles of each class; similar enough sets share one of them.
-
-    Of two sets with a similarity of ``percent`` hundredths each holds so many
-    hundredths of the other, so leaving out the most frequent of that share still
-    leaves one in common. Shingles that one class alone has come first in the
-    order and are not posted.
-    """
-    single = sets.select("cid", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
-    shared = single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    lists = (
-        single.join(shared, "key")
-        .groupBy("cid", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"))
-        .withColumn("posts", F.size("found") - F.expr(f"(size * {percent} + 99) div 100") + 1)
-        .filter("posts > 0")
-    )
-    return lists.select("cid", F.explode(F.slice("found", F.lit(1), F.col("posts").cast("int"))).alias("p")).select(
-        F.col("p.key").alias("key"), "cid"
-    )
-
-
-def _in_company(blocks: DataFrame) -> DataFrame:
-    """Blocks with two members or more, with their number ``n``."""
-    return blocks.join(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
-
-
 def _alike(pairs: DataFrame, classes: DataFrame, sets: DataFrame, agreeing: int, percent: int) -> DataFrame:
     """Of ``pairs(a, b)`` those whose signatures agree often enough and whose full sets are similar enough."""
     sig = classes.select("cid", "sig")
@@ -179,113 +146,22 @@ def _alike(pairs: DataFrame, classes: DataFrame, sets: DataFrame, agreeing: int,
     )
 
 
-def tile_links(comps: list[int], sets: list[np.ndarray], percent: int, columns: int = 2048) -> list[tuple[int, int]]:
-    """Links between sets of different components, as few as join all that are linked."""
-    parent = {c: c for c in comps}
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    if len(parent) < 2:
-        return []
-    n, lengths = len(sets), np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(n), lengths)
-    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = counts > 1
-    numbered = np.cumsum(shared) - 1
-    good = shared[place]
-    owner, place = owner[good], numbered[place[good]]
-    common = np.zeros((n, n), np.float32)
-    for at in range(0, int(shared.sum()), columns):
-        here = (place >= at) & (place < at + columns)
-        part = np.zeros((n, columns), np.float32)
-        part[owner[here], place[here] - at] = 1
-        common += part @ part.T
-    links = []
-    for a in range(n - 1):
-        shared_with = common[a, a + 1 :]
-        for b in np.flatnonzero(100 * shared_with >= percent * (lengths[a] + lengths[a + 1 :] - shared_with)) + a + 1:
-            ca, cb = root(comps[a]), root(comps[b])
-            if ca != cb:
-                parent[ca] = cb
-                links.append((a, int(b)))
-    return links
-
-
-def _tile(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compare(table: pa.Table) -> pa.Table:
-        cids, comps = table.column("cid").to_pylist(), table.column("comp").to_pylist()
-        sets = [x.values.to_numpy() for x in table.column("shingles")]
-        links = tile_links(comps, sets, percent)
-        return pa.Table.from_arrays([pa.array([cids[x[k]] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
-
-    return compare
-
-
 def _linked(blocks: DataFrame, classes: DataFrame, sets: DataFrame, agreeing: int, percent: int) -> DataFrame:
     """``node, component`` of the classes that have a link.
 
-    All pairs of a small block are compared. The members of larger ones are
-    posted once more, under their rarest shingles, and of these blocks again the
-    small ones are compared pair by pair. In a large one a pivot, the member that
-    shares most with others, is compared with all; where that leaves more than
-    one component, the rest of the block is cut into chunks and each two chunks
-    meet in one task of bounded size, which gives only the links that join
-    components. So every link is found or lies inside a component, and no more
-    rows leave a block than tasks times members.
+    Members of a block meet in rounds (see ``link_blocks``), the same for every
+    size: pairs of too different sizes are passed over, the others have to agree
+    in ``agreeing`` coordinates and are confirmed on their full sets.
     """
     near = 100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")
 
-    def crossed(left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.select("key", F.col("cid").alias("a"), F.col("size").alias("sa"))
-        b = right.select("key", F.col("cid").alias("b"), F.col("size").alias("sb"))
-        return a.join(b, "key").filter(near).select("a", "b")
-
-    small = blocks.filter(F.col("n") <= SMALL_BLOCK)
-    crowd = blocks.filter(F.col("n") > SMALL_BLOCK).groupBy("cid").agg(F.first("size").alias("size"), F.first("weight").alias("weight"))
-    crowd = stored(crowd, "crowd")
-    finer = _in_company(rarest_shingles(sets.join(crowd, "cid", "left_semi"), percent)).join(crowd, "cid")
-    finer = stored(finer, "finer-blocks")
-    fine, large = finer.filter(F.col("n") <= SMALL_BLOCK), finer.filter(F.col("n") > SMALL_BLOCK)
-    pivots = large.groupBy("key").agg(F.max(F.struct("weight", "cid", "size")).alias("p")).select("key", "p.cid", "p.size")
-    pivots = stored(pivots, "pivots")
-    pairs = crossed(small, small).filter("a < b").unionByName(crossed(fine, fine).filter("a < b"))
-    pairs = pairs.unionByName(crossed(pivots, large).filter("a <> b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _alike(stored(pairs, "pairs"), classes, sets, agreeing, percent)
-    found = stored(components(links), "components")
-
-    names = found.select(F.col("node").alias("cid"), F.col("component").alias("comp"))
-    rest = (
-        large.join(pivots.select("key", "cid"), ["key", "cid"], "left_anti")
-        .join(names, "cid", "left")
-        .select("key", "cid", "size", F.coalesce("comp", "cid").alias("comp"))
-    )
-    undone = (
-        rest.groupBy("key")
-        .agg(
-            F.min("comp").alias("l"), F.max("comp").alias("h"),
-            F.sum("size").alias("all"), F.count(F.lit(1)).alias("members"),
-        )
-        .filter("l <> h")
-        .select("key", F.ceil(F.greatest(F.col("all") / CHUNK_SHINGLES, F.col("members") / CHUNK_MEMBERS)).alias("chunks"))
-    )
-    chunk = F.pmod(F.xxhash64("cid"), F.col("chunks"))
-    tiled = (
-        rest.join(undone, "key")
-        .withColumn("own", chunk)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select("key", "cid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .join(sets, "cid")
-    )
-    more = tiled.groupBy("key", "i", "j").applyInArrow(_tile(percent), "a long, b long")
-    kept = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return components(more.unionByName(kept))
+    def paired(left: DataFrame, right: DataFrame) -> DataFrame:
+        a = left.select("key", F.col("cid").alias("ca"), F.col("size").alias("sa"), F.col("comp").alias("ma"))
+        b = right.select("key", F.col("cid").alias("cb"), F.col("size").alias("sb"), F.col("comp").alias("mb"))
+        met = a.join(b, "key").filter(near & (F.col("ma") != F.col("mb")))
+        return met.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+
+    return link_blocks(blocks, paired, lambda pairs: _alike(pairs, classes, sets, agreeing, percent))
 
 
 def _judged(
@@ -313,14 +189,14 @@ def _judged(
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
-    posted = _in_company(blocks_of(classes, coordinates, agreeing)).join(classes.select("cid", "size"), "cid")
+    posted = in_company(blocks_of(classes, coordinates, agreeing)).join(classes.select("cid", "size"), "cid")
     blocks = stored(posted, "blocks")
     met = blocks.select("cid").distinct()
     holders = classes.join(met, "cid", "left_semi").select("cid", "holder._txt", F.col("holder._id").alias("_held"))
     texts = rows.join(holders, "_txt").filter(F.col("_id").eqNullSafe(F.col("_held"))).select("cid", "_text")
     sets = texts.mapInArrow(_shingled(width), "cid long, shingles array<long>")
     sets = stored(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
-    found = _linked(blocks, classes, sets, agreeing, percent)
+    found = _linked(blocks.drop("n"), classes, sets, agreeing, percent)
 
     named = classes.select("cid", "digest", "copies", "least").join(
         found.withColumnRenamed("node", "cid").withColumnRenamed("component", "comp"), "cid", "left"

@@ -342,9 +342,8 @@ def test_near_duplicates(awkward, nothing, documents):
     assert near_dup.near_duplicates(nothing).count() == 0
 
 
-def test_large_group_of_near_copies(spark, monkeypatch):
-    """More copies than a small block holds, edited enough that some are linked and some are not."""
-    monkeypatch.setattr(near_dup, "CHUNK_SHINGLES", 700)
+def test_large_group_of_near_copies(spark):
+    """More copies than the first round finishes, edited enough that some are linked and some are not."""
     rng = random.Random(8)
     base = [f"word{rng.randrange(400)}" for _ in range(120)]
     rows = [(0, " ".join(base))]
