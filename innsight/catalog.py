@@ -30,6 +30,7 @@ from innsight.tables import Delta, Hotel
 Query = Callable[[SparkSession, str], DataFrame]
 P = Params(FIXTURE_TODAY)
 NOW = dt.datetime(2001, 6, 15, 11)
+NEXT_MONTH = FIXTURE_TODAY + dt.timedelta(days=30)
 
 
 def _on_hotel(build: Callable[[Hotel], DataFrame]) -> Query:
@@ -39,6 +40,7 @@ def _on_hotel(build: Callable[[Hotel], DataFrame]) -> Query:
 def _reports() -> dict[str, Callable[[Hotel], DataFrame]]:
     return {
         "q01_available_rooms": lambda h: occupancy.available_rooms(h, P),
+        "q01_available_rooms_between": lambda h: occupancy.available_rooms(h, P, P.hoy, NEXT_MONTH),
         "q02_current_stays": occupancy.current_stays,
         "q03_due_without_checkin": lambda h: bookings.due_without_checkin(h, P),
         "q04_occupancy_by_category": lambda h: occupancy.occupancy_by_category(h, P),
@@ -71,6 +73,7 @@ def _reports() -> dict[str, Callable[[Hotel], DataFrame]]:
         "q30_longest_stay_per_category": lambda h: occupancy.longest_stay_per_category(h, P),
         "p_h_guests_in_house": occupancy.guests_in_house,
         "p_i_monthly_income": billing.monthly_income,
+        "p_i_income_of_month": lambda h: billing.monthly_income(h, P.last_month.start.year, P.last_month.start.month),
         "v1_employee_public": staff.employee_public,
         "v2_user_public": guests.user_public,
         "v3_booking_finance": billing.booking_finance,
@@ -145,8 +148,17 @@ def _checkout(h: Hotel) -> Delta:
     return plans.checkout(h, booking_followups(h), NOW)
 
 
-def _cancel(h: Hotel) -> Delta:
-    return plans.cancel(h, booking_followups(h), NOW)
+def _checkout_twice(h: Hotel) -> Delta:
+    """Every booking asks to leave twice; ``strict`` lets the earlier request through."""
+    asked = booking_followups(h)
+    again = asked.withColumns(
+        {"request_id": -F.col("request_id") - 1, "arrival": F.expr("arrival + INTERVAL '1' HOUR")}
+    )
+    return plans.checkout(h, asked.unionByName(again), NOW, strict=True)
+
+
+def _cancel(h: Hotel, strict_release: bool = False) -> Delta:
+    return plans.cancel(h, booking_followups(h), NOW, strict_release)
 
 
 def _register(spark: SparkSession, sf_dir: str) -> Delta:
@@ -163,6 +175,12 @@ def _consumption_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.validate_consumption(rows)[1].select("request_id", "motivo_rechazo")
 
 
+def _correction_refused(h: Hotel) -> DataFrame:
+    """Recorded consumption with a discount on its price; a price must stay positive, a quantity is not asked again."""
+    cheaper = h.consumo_servicio.withColumn("precio_unitario", F.expr("cast(precio_unitario - 1000 as decimal(12,2))"))
+    return plans.validate_consumption(cheaper, updating=True)[1].select("id_consumo", "precio_unitario", "motivo_rechazo")
+
+
 def _appliers() -> dict[str, Query]:
     stored: dict[str, Callable[[Hotel], DataFrame]] = {
         "p_c_checkout_invoices": lambda h: _insert(_checkout(h), "factura", "id_factura"),
@@ -173,10 +191,13 @@ def _appliers() -> dict[str, Query]:
         "p_c_checkout_rooms": lambda h: _checkout(h).updates["habitacion"],
         "p_c_checkout_log": lambda h: _insert(_checkout(h), "bitacora_habitacion", "id_bitacora"),
         "p_c_checkout_rejected": lambda h: _checkout(h).rejected,
+        "p_c_checkout_strict_invoices": lambda h: _insert(_checkout_twice(h), "factura", "id_factura"),
+        "p_c_checkout_strict_rejected": lambda h: _checkout_twice(h).rejected,
         "p_f_cancel_rows": lambda h: _insert(_cancel(h), "cancelacion", "id_cancelacion"),
         "p_f_cancel_rejected": lambda h: _cancel(h).rejected,
         "t_j_cancel_bookings": lambda h: _cancel(h).updates["reservacion"],
         "t_j_cancel_rooms": lambda h: _cancel(h).updates["habitacion"],
+        "t_j_cancel_rooms_strict": lambda h: _cancel(h, strict_release=True).updates["habitacion"],
         "p_g_recompute_vip": _recomputed,
         "p_j_propose_upgrades": lambda h: plans.propose_upgrades(h, booking_followups(h)).drop("arrival"),
         "p_j_upgrade_rows": lambda h: plans.upgrade(h, booking_followups(h)).updates["reservacion_habitacion"],
@@ -189,6 +210,7 @@ def _appliers() -> dict[str, Query]:
         "t_e_count_bookings_vips": lambda h: plans.count_bookings(h, h.reservacion).updates["cliente_vip"],
         "t_e_count_bookings_legacy": lambda h: plans.count_bookings(h, h.reservacion, True).updates["cliente_vip"],
         "t_h_expire_bookings": lambda h: plans.expire_bookings(h, P.hoy).updates["reservacion"],
+        "t_i_correction_rejected": _correction_refused,
         "t_i_service_prices": lambda h: plans.validate_service_prices(h.servicio)[0],
     }
     batches: dict[str, Query] = {

@@ -1,6 +1,7 @@
 """Column expressions shared by the operators."""
 
 from innsight.functions.expressions import (
+    beyond_money,
     field_rank,
     full_name,
     greatest_strict,
@@ -20,6 +21,7 @@ from innsight.functions.expressions import (
 )
 
 __all__ = [
+    "beyond_money",
     "field_rank",
     "full_name",
     "greatest_strict",

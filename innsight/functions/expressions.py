@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from innsight.params import Window
 from innsight.schemas import UMBRALES_VIP
 
-MONEY = "decimal(12,2)"
+MONEY_DIGITS = 12
+MONEY = f"decimal({MONEY_DIGITS},2)"
 SUM_MONEY = "decimal(22,2)"
 
 
@@ -98,6 +99,11 @@ def money(value: Column) -> Column:
     return F.round(value, 2).cast(MONEY)
 
 
+def beyond_money(value: Column) -> Column:
+    """Whether an amount, rounded to cents, is wider than a stored amount."""
+    return F.abs(F.round(value, 2)) >= F.lit(10 ** (MONEY_DIGITS - 2))
+
+
 def total_money(column: str | Column) -> Column:
     """Exact sum of a money column."""
     return F.sum(column).cast(SUM_MONEY)

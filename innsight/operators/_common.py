@@ -75,6 +75,20 @@ def collected(hotel: Hotel, alias: str) -> DataFrame:
     )
 
 
+def optional(rows: DataFrame, other: DataFrame, key: str, row_id: str) -> DataFrame:
+    """Left join on a key that many rows lack; ``other`` holds each key once.
+
+    Rows without the key match nothing and are dealt by ``row_id``, so they don't
+    gather in one task.
+    """
+    # one struct, so that the optimizer can't take the constant part out of the join key
+    own = F.lit(-1).cast("long")
+    dealt = F.when(F.col(key).isNull(), F.abs(F.hash(row_id).cast("long"))).otherwise(own)
+    left = rows.withColumn("_llave", F.struct(F.col(key).alias("k"), dealt.alias("d")))
+    right = other.withColumn("_llave", F.struct(F.col(key).alias("k"), own.alias("d"))).drop(key)
+    return left.join(right, "_llave", "left").drop("_llave")
+
+
 def stay_nights() -> Column:
     """Calendar nights from check-in to the real, else the scheduled, check-out."""
     return F.datediff(stay_end().cast("date"), F.col("fecha_hora_checkin").cast("date"))

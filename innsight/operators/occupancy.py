@@ -11,6 +11,7 @@ from innsight.functions import field_rank, full_name, half_open, hours_between,
 from innsight.operators._common import (
     categories,
     guests,
+    optional,
     payers,
     room_categories,
     room_labels,
@@ -283,29 +284,32 @@ def longest_stay_per_category(hotel: Hotel, p: Params) -> DataFrame:
 
 
 def room_audit(hotel: Hotel, id_habitacion: int | None = None) -> DataFrame:
-    """State changes with room, booking and employee; of one room or of all."""
+    """State changes with room, booking and employee; of one room, latest first, or of all in no order.
+
+    Changes made by triggers name neither booking nor employee; they are dealt
+    over all tasks on their way through the joins.
+    """
     log = hotel.bitacora_habitacion
     if id_habitacion is not None:
         log = log.filter(F.col("id_habitacion") == id_habitacion)
     rooms = hotel.habitacion.select("id_habitacion", "numero_habitacion")
-    bookings = hotel.reservacion.select("id_reservacion", "id_huesped", F.col("total").alias("costo_reserva"))
-    staff = hotel.empleado.select("id_empleado", full_name().alias("empleado"), F.col("rol").alias("rol_empleado"))
-    return (
-        log.join(rooms, "id_habitacion")
-        .join(bookings, "id_reservacion", "left")
+    bookings = (
+        hotel.reservacion.select("id_reservacion", "id_huesped", F.col("total").alias("costo_reserva"))
         .join(guests(hotel), "id_huesped", "left")
-        .join(staff, "id_empleado", "left")
-        .select(
-            "id_bitacora",
-            F.col("fecha_hora").alias("cambio"),
-            "estado_anterior",
-            "estado_nuevo",
-            "numero_habitacion",
-            "id_reservacion",
-            "huesped",
-            "costo_reserva",
-            "empleado",
-            "rol_empleado",
-        )
-        .orderBy(F.desc("cambio"), "id_bitacora")
+        .drop("id_huesped")
+    )
+    staff = hotel.empleado.select("id_empleado", full_name().alias("empleado"), F.col("rol").alias("rol_empleado"))
+    named = optional(optional(log, bookings, "id_reservacion", "id_bitacora"), staff, "id_empleado", "id_bitacora")
+    listed = named.join(rooms, "id_habitacion").select(
+        "id_bitacora",
+        F.col("fecha_hora").alias("cambio"),
+        "estado_anterior",
+        "estado_nuevo",
+        "numero_habitacion",
+        "id_reservacion",
+        "huesped",
+        "costo_reserva",
+        "empleado",
+        "rol_empleado",
     )
+    return listed if id_habitacion is None else listed.orderBy(F.desc("cambio"), "id_bitacora")

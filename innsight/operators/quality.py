@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from innsight.schemas import CASCADE, RESTRICT, SET_NULL, TABLES, Table, children_of
 from innsight.session import checkpoint
@@ -25,8 +26,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _per_constraint(values: DataFrame, constraints: DataFrame) -> DataFrame:
-    """Repeated and missing values per constraint; ``values`` holds (restriccion, valor, n)."""
-    missing, repeated = F.col("valor").isNull(), F.col("valor").isNotNull() & (F.col("n") > 1)
+    """Repeated and missing values per constraint; ``values`` holds (restriccion, falta, n)."""
+    missing, repeated = F.col("falta"), ~F.col("falta") & (F.col("n") > 1)
     found = values.groupBy("restriccion").agg(
         F.count_if(repeated).alias("claves_repetidas"),
         F.sum(F.when(repeated, F.col("n"))).alias("filas_repetidas"),
@@ -42,20 +43,35 @@ def _per_constraint(values: DataFrame, constraints: DataFrame) -> DataFrame:
 
 
 def _key_check(hotel: Hotel, keys: list[tuple[str, tuple[str, ...]]], null_is_error: bool) -> DataFrame:
-    """All keys in one pass: values of every key meet in a single pre-combined grouping."""
-    parts, listed = [], []
+    """All keys of one type in one pass: their values meet in a single pre-combined grouping.
+
+    Keys of one integer column, which every large table has, are grouped as eight
+    bytes; text and keys of several columns are grouped as text.
+    """
+    numbers, texts, listed = [], [], []
     for number, (table, columns) in enumerate(keys):
+        listed.append((number, table, ", ".join(columns), null_is_error))
+        kinds = {f.name: f.dataType for f in TABLES[table].struct}
         if len(columns) == 1:
-            value = F.col(columns[0]).cast("string")
+            whole = isinstance(kinds[columns[0]], T.IntegralType)
+            value = F.col(columns[0]).cast("long" if whole else "string")
         else:
+            whole = False
             # A length in front of each part keeps ("a", "bc") and ("ab", "c") apart.
             text = [F.col(c).cast("string") for c in columns]
             value = F.concat(*[piece for t in text for piece in (F.length(t).cast("string"), F.lit(":"), t)])
-        parts.append(hotel.table(table).select(F.lit(number).alias("restriccion"), value.alias("valor")))
-        listed.append((number, table, ", ".join(columns), null_is_error))
+        rows = hotel.table(table).select(F.lit(number).alias("restriccion"), value.alias("valor"))
+        (numbers if whole else texts).append(rows)
     constraints = hotel.spark.createDataFrame(listed, "restriccion int, tabla string, columnas string, nulo_es_error boolean")
-    counted = _union(parts).groupBy("restriccion", "valor").agg(F.count("*").alias("n"))
-    return _per_constraint(counted, constraints)
+    counted = [
+        _union(rows)
+        .groupBy("restriccion", "valor")
+        .agg(F.count("*").alias("n"))
+        .select("restriccion", F.col("valor").isNull().alias("falta"), "n")
+        for rows in (numbers, texts)
+        if rows
+    ]
+    return _per_constraint(_union(counted), constraints)
 
 
 def primary_keys(hotel: Hotel) -> DataFrame:
@@ -71,50 +87,68 @@ def unique_keys(hotel: Hotel) -> DataFrame:
 def foreign_keys(hotel: Hotel) -> DataFrame:
     """One row per reference: orphaned values and the rows that hold them.
 
-    Every table is read once for all its references and once as a parent; the
-    values held, already counted, meet the parent keys in one join.
+    Every table is read once for all its references and once as a parent. Held
+    values and parent keys meet in one grouping by (parent, value) that counts
+    the rows of each reference side by side: one shuffle, combined inside each
+    task first, and no join of large sides. NULL refers to nothing.
     """
-    held, listed, number = [], [], 0
+    parents = sorted({ref.parent for name in hotel.names() for ref in TABLES[name].references})
+    asked = dict.fromkeys(parents, 0)  # references to a parent so far
+    rows, listed = [], []
     for name in hotel.names():
         pairs = []
         for ref in TABLES[name].references:
-            pairs.append(
-                F.struct(
-                    F.lit(number).alias("referencia"), F.lit(ref.parent).alias("padre"), F.col(ref.column).alias("valor")
-                )
-            )
-            listed.append((number, name, ref.column, ref.parent))
-            number += 1
+            place = asked[ref.parent]
+            asked[ref.parent] += 1
+            code = parents.index(ref.parent)
+            pairs.append(_met(code, place, ref.column))
+            listed.append((code, place, name, ref.column, ref.parent))
         if pairs:
-            held.append(hotel.table(name).select(F.explode(F.array(*pairs)).alias("x")).select("x.*"))
-    counted = (
-        _union(held)
-        .filter(F.col("valor").isNotNull())
-        .groupBy("referencia", "padre", "valor")
-        .agg(F.count("*").alias("n"))
-    )
-    parents = _union(
-        [
-            hotel.table(p).select(F.lit(p).alias("padre"), F.col(TABLES[p].key).alias("valor"))
-            for p in sorted({p for *_, p in listed})
-        ]
-    )
+            rows.append(hotel.table(name).select(F.explode(F.array(*pairs)).alias("x")).select("x.*"))
+    rows += [hotel.table(p).select(_met(code, -1, TABLES[p].key).alias("x")).select("x.*") for code, p in enumerate(parents)]
+
+    places = range(max(asked.values()))
     orphans = (
-        counted.join(parents, ["padre", "valor"], "left_anti")
-        .groupBy("referencia")
-        .agg(F.count("*").alias("claves"), F.sum("n").alias("filas"))
+        _union(rows)
+        .filter(F.col("valor").isNotNull())
+        .groupBy("padre", "valor")
+        .agg(
+            F.max(F.col("lugar") == -1).alias("existe"),
+            *[F.count_if(F.col("lugar") == i).alias(f"n{i}") for i in places],
+        )
+        .filter(~F.col("existe"))
+        .groupBy("padre")
+        .agg(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("lugar"),
+                        F.count_if(F.col(f"n{i}") > 0).alias("claves"),
+                        F.sum(f"n{i}").alias("filas"),
+                    )
+                    for i in places
+                ]
+            ).alias("x")
+        )
+        .select("padre", F.explode("x").alias("x"))
+        .select("padre", "x.*")
     )
-    references = hotel.spark.createDataFrame(listed, "referencia int, tabla string, columna string, padre string")
+    references = hotel.spark.createDataFrame(listed, "codigo int, lugar int, tabla string, columna string, nombre string")
     zero = F.lit(0).cast("long")
-    return references.join(orphans, "referencia", "left").select(
+    return references.join(orphans.withColumnRenamed("padre", "codigo"), ["codigo", "lugar"], "left").select(
         "tabla",
         "columna",
-        "padre",
+        F.col("nombre").alias("padre"),
         F.coalesce("claves", zero).alias("claves_huerfanas"),
         F.coalesce("filas", zero).alias("filas_huerfanas"),
     )
 
 
+def _met(code: int, place: int, column: str) -> Column:
+    """A value of parent ``code``, held by its reference number ``place`` or, at -1, by the parent itself."""
+    return F.struct(F.lit(code).alias("padre"), F.lit(place).alias("lugar"), F.col(column).alias("valor"))
+
+
 def _rules(table: Table) -> list[tuple[str, str, str]]:
     """(kind, name, condition of a broken row); a check that evaluates to NULL passes."""
     checks = [("regla", name, f"NOT coalesce({rule}, true)") for name, rule in table.checks]

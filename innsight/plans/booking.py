@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions import money, month_nights
+from innsight.functions import beyond_money, money, month_nights
 from innsight.plans._common import (
     arrival_order,
     dedupe_requests,
@@ -124,9 +124,13 @@ def book(hotel: Hotel, requests: DataFrame) -> Delta:
     fecha_inicio, fecha_salida, metodo, id_habitacion).
 
     Granted requests become a confirmed booking with one room at today's price
-    and move the payer's counters.
+    and move the payer's counters. A request whose total is too wide to be stored
+    is refused alone and holds no room.
     """
     requests, repeats = dedupe_requests(requests)
+    stay = F.datediff("fecha_salida", "fecha_inicio")
+    cost = F.col("_tarifa") * stay
+    with_tax = F.lit(FACTOR_CON_IVA).cast("decimal(3,2)")
     judged = (
         _judge_availability(hotel, requests)
         .withColumnRenamed("motivo_rechazo", "_previo")
@@ -143,6 +147,7 @@ def book(hotel: Hotel, requests: DataFrame) -> Delta:
                     ("unknown_payer", F.col("_pagador").isNull()),
                     ("unknown_user", F.col("_usuario").isNull()),
                     ("invalid_method", ~F.coalesce(F.col("metodo").isin(*METODOS_RESERVA), F.lit(False))),
+                    ("amount_too_large", beyond_money(cost * with_tax)),
                 ),
             ),
         )
@@ -154,12 +159,10 @@ def book(hotel: Hotel, requests: DataFrame) -> Delta:
     late = candidates.join(granted, "request_id", "left_anti").select(
         "request_id", F.lit("taken_in_batch").alias("motivo_rechazo")
     )
-    stay = F.datediff("fecha_salida", "fecha_inicio")
-    subtotal = (F.col("_tarifa") * stay).cast("decimal(12,2)")
     priced = (
         accepted.withColumn("noches", stay)
-        .withColumn("subtotal", subtotal)
-        .withColumn("total", money(F.col("subtotal") * F.lit(FACTOR_CON_IVA).cast("decimal(3,2)")))
+        .withColumn("subtotal", money(cost))
+        .withColumn("total", money(F.col("subtotal") * with_tax))
         .withColumn("id_reservacion", new_id("reservacion", "request_id"))
     )
     bookings = priced.select(

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions import money, ntz
+from innsight.functions import beyond_money, money, ntz
 from innsight.plans._common import dedupe_requests, first_reason, known, new_id, split
 from innsight.schemas import FACTOR_CON_IVA, RESERVA_CONSUME, TASA_IVA
 from innsight.session import checkpoint
@@ -19,9 +19,12 @@ def register_services(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> De
 
     Consumption is charged at the catalogue price. A booking with an account,
     open or closed, also gets an account line; account totals are left to
-    ``rebuild_account_totals``.
+    ``rebuild_account_totals``. A request whose charge, or whose quantity, is too
+    wide to be stored is refused alone.
     """
     requests, repeats = dedupe_requests(requests)
+    gross = F.col("cantidad") * F.col("precio")
+    with_tax = F.lit(FACTOR_CON_IVA).cast("decimal(3,2)")
     catalogue = hotel.servicio.select("id_servicio", "nombre_servicio", "precio", "disponible")
     bookings = hotel.reservacion.select("id_reservacion", "id_huesped", F.col("estado").alias("_estado"))
     judged = (
@@ -38,6 +41,7 @@ def register_services(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> De
                 ("unknown_booking", F.col("id_huesped").isNull()),
                 ("booking_not_active", ~F.col("_estado").isin(*RESERVA_CONSUME)),
                 ("unknown_employee", F.col("_empleado").isNull()),
+                ("amount_too_large", beyond_money(gross * with_tax) | (F.col("cantidad") >= 10**8)),
             ),
         )
     )
@@ -52,7 +56,6 @@ def register_services(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> De
         F.col("precio").alias("precio_unitario"),
         ntz(now).alias("fecha_hora"),
     )
-    gross = F.col("cantidad") * F.col("precio")
     lines = accepted.join(hotel.cuenta.select("id_reservacion", "id_cuenta"), "id_reservacion").select(
         new_id("detalle", "request_id").alias("id_detalle_cuenta"),
         "id_cuenta",
@@ -62,7 +65,7 @@ def register_services(hotel: Hotel, requests: DataFrame, now: dt.datetime) -> De
         F.col("precio").alias("precio_unitario"),
         F.lit(0).cast("decimal(12,2)").alias("descuento"),
         money(gross * F.lit(TASA_IVA).cast("decimal(3,2)")).alias("impuesto"),
-        money(gross * F.lit(FACTOR_CON_IVA).cast("decimal(3,2)")).alias("importe"),
+        money(gross * with_tax).alias("importe"),
     )
     return Delta({"consumo_servicio": used, "detalle_cuenta": lines}, rejected=rejected.unionByName(repeats))
 

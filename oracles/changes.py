@@ -60,6 +60,9 @@ STEPS: dict[str, str] = {
              WHEN r.id_reservacion % 10 NOT IN (SELECT id_empleado FROM empleado) THEN 'unknown_employee'
              WHEN c.total <= 0 THEN 'nothing_to_pay' END AS motivo
         FROM reservacion r LEFT JOIN cuenta c USING (id_reservacion)""",
+    # those that leave under strict rules, by the earlier of two requests
+    "salida_estricta": """SELECT s.*, coalesce(motivo, CASE WHEN s.id_reservacion NOT IN (SELECT id_reservacion FROM estancia
+        WHERE fecha_hora_checkout_real IS NULL) THEN 'no_open_stay' END) AS pega FROM salida s""",
     "salida_ok": "SELECT * FROM salida WHERE motivo IS NULL",
     "anulable": """SELECT r.*, CASE WHEN r.estado IN ('cancelada', 'completada', 'expirada') THEN 'final_state'
         WHEN r.id_reservacion IN (SELECT id_reservacion FROM cancelacion) THEN 'already_cancelled'
@@ -175,6 +178,12 @@ CHANGES: dict[str, str] = {
           AND id_reservacion IN (SELECT id_reservacion FROM salida_ok))""",
     "p_c_checkout_rejected": """SELECT id_reservacion AS request_id, motivo AS motivo_rechazo FROM salida
         WHERE motivo IS NOT NULL""",
+    "p_c_checkout_strict_invoices": f"""SELECT id_cuenta, id_huesped_facturador, id_empleado, {HOY} AS fecha_emision,
+        subtotal, CAST(round(0.16 * subtotal, 2) AS DECIMAL(12,2)) AS impuestos, total, 'pagada' AS estado_factura
+        FROM salida_estricta WHERE pega IS NULL""",
+    "p_c_checkout_strict_rejected": """SELECT id_reservacion AS request_id, pega AS motivo_rechazo FROM salida_estricta
+        WHERE pega IS NOT NULL
+        UNION ALL SELECT -id_reservacion - 1, coalesce(pega, 'duplicate_request') FROM salida_estricta""",
     "p_d_check_availability": """SELECT request_id, CASE WHEN absurda IS NULL THEN libre END AS disponible,
         absurda AS motivo_rechazo FROM juzgada""",
     "p_e_service_consumption": f"""SELECT id_reservacion, id_huesped, id_servicio, id_empleado, cantidad,
@@ -198,6 +207,11 @@ CHANGES: dict[str, str] = {
     "t_j_cancel_rooms": """SELECT h.* REPLACE ('disponible' AS estado) FROM habitacion h WHERE estado = 'ocupada'
         AND id_habitacion IN (SELECT id_habitacion FROM reservacion_habitacion
           WHERE id_reservacion IN (SELECT id_reservacion FROM anulada))""",
+    "t_j_cancel_rooms_strict": """SELECT h.* REPLACE ('disponible' AS estado) FROM habitacion h WHERE estado = 'ocupada'
+        AND id_habitacion IN (SELECT id_habitacion FROM reservacion_habitacion
+          WHERE id_reservacion IN (SELECT id_reservacion FROM anulada))
+        AND id_habitacion NOT IN (SELECT id_habitacion FROM estancia WHERE fecha_hora_checkout_real IS NULL
+          AND id_reservacion NOT IN (SELECT id_reservacion FROM anulada))""",
     "p_g_recompute_vip": f"""SELECT x.id_huesped_facturador,
         {_LEVEL.format(n='x.n', a=15, b=10, c=5, e="'bronce'")} AS nivel_vip,
         CAST(floor(x.gasto / 100) AS BIGINT) AS puntos_acumulados, x.n AS contador_reservas,
@@ -230,6 +244,8 @@ CHANGES: dict[str, str] = {
     "t_h_expire_bookings": f"""SELECT r.* REPLACE ('expirada' AS estado) FROM reservacion r
         WHERE estado IN ('pendiente', 'confirmada') AND fecha_inicio < {HOY}
           AND id_reservacion NOT IN (SELECT id_reservacion FROM estancia)""",
+    "t_i_correction_rejected": """SELECT id_consumo, CAST(precio_unitario - 1000 AS DECIMAL(12,2)) AS precio_unitario,
+        'invalid_price' AS motivo_rechazo FROM consumo_servicio WHERE precio_unitario <= 1000""",
     "t_i_service_prices": "SELECT * FROM servicio WHERE NOT precio <= 0",
     "t_i_consumption_rejected": """SELECT request_id, 'invalid_quantity' AS motivo_rechazo FROM pedido
         WHERE cantidad <= 0""",

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from innsight.catalog import queries
-from innsight.operators import billing, bookings, occupancy, services
+from innsight.operators import billing, bookings, occupancy, quality, services
 from innsight.params import Params
 from innsight.sources.generator import ANCHOR
 from tests.conftest import SF_SMALL
@@ -75,3 +75,23 @@ def test_countries_without_case_and_accents(spark, seed):
     folded = bookings.bookings_by_country(hotel, ci_ai=True)
     assert {r.reservas for r in folded.collect()} == {70, 50}
     assert bookings.repeat_cancellers(seed, ci_ai=True).count() == 20
+
+
+def test_references_meet_in_one_shuffle(large, seed):
+    """Held values and parent keys share one exchange; the only join is with the list of references."""
+    plan = plan_of(quality.foreign_keys(seed))
+    assert len(re.findall(r"Exchange hashpartitioning\(padre#\d+, valor#", plan)) == 1
+    assert re.findall(r"(\w+Join\w*) \[(\w+)#", plan) == [("SortMergeJoin", "codigo")]
+
+
+def test_integer_keys_stay_integers(large, seed):
+    plan = plan_of(quality.primary_keys(seed))
+    assert "as string" not in plan
+    assert re.search(r"Exchange hashpartitioning\(restriccion#\d+, valor#\d+L", plan)
+
+
+def test_missing_keys_are_dealt_over_tasks(large, seed):
+    plan = plan_of(occupancy.room_audit(seed))
+    assert "Exchange rangepartitioning" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(_llave#", plan)) == 4
+    assert not re.findall(r"Exchange hashpartitioning\(id_(?:reservacion|empleado)#", plan)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from innsight import plans
-from innsight.operators import quality, reconcile
+from innsight.operators import occupancy, quality, reconcile
 from innsight.plans.rooms import previous_value
 from innsight.plans.vip import positions
 from innsight.sources.generator import ANCHOR, generate
@@ -571,3 +571,77 @@ def test_batches_survive_a_larger_hotel(spark):
     hotel = generate(spark, scale=3)
     offset = [b * 120 + i for b in range(3) for i in (101, 111)]
     assert plans.cancel(hotel, followups(spark, offset), NOW).inserts["cancelacion"].count() == 6
+
+
+def test_outsized_amounts_refuse_their_own_request(spark, seed):
+    dear = seed.habitacion.withColumn(
+        "precio", F.when(F.col("id_habitacion") == 1, F.lit("9999999999.99").cast("decimal(12,2)")).otherwise(F.col("precio"))
+    )
+    hotel = seed.replace(habitacion=dear)
+    far = [day(200), day(203)]
+    delta = plans.book(hotel, booking_requests(spark, [(1, 1, *far, "internet"), (2, 2, *far, "internet")]))
+    assert rows_of(delta.rejected, "request_id", "motivo_rechazo") == [(0, "amount_too_large")]
+    assert rows_of(delta.inserts["reservacion"], "id_huesped") == [(2,)]
+    orders = spark.createDataFrame(
+        [(0, 101, 1, 1, 2**31 - 1), (1, 101, 1, 1, 10**8), (2, 101, 1, 1, 3)],
+        "request_id long, id_reservacion long, id_servicio long, id_empleado long, cantidad int",
+    )
+    served = plans.register_services(hotel, orders, NOW)
+    assert sorted(rows_of(served.rejected, "request_id", "motivo_rechazo")) == [
+        (0, "amount_too_large"), (1, "amount_too_large"),
+    ]
+    assert rows_of(served.inserts["consumo_servicio"], "cantidad") == [(3,)]
+    assert served.inserts["detalle_cuenta"].count() == 1
+
+
+def test_keys_of_every_type_and_missing_ones(spark, seed):
+    """Text keys, keys of two columns and integer keys, each with a repeat and a NULL."""
+    guest, pair = seed.usuario, seed.detalle_paquete_promocional
+    one, two = guest.first(), pair.first()
+    hotel = seed.replace(
+        usuario=guest.unionByName(guest.filter(F.col("id_usuario") == one.id_usuario))
+        .unionByName(guest.limit(1).withColumn("id_usuario", F.lit(None).cast("long")).withColumn("email", F.lit(None).cast("string"))),
+        detalle_paquete_promocional=pair.unionByName(
+            pair.filter(F.col(pair.columns[0]) == two[0]).withColumn(pair.columns[0], F.lit(-1).cast("long"))
+        ),
+    )
+    primary = {r.tabla: r for r in quality.primary_keys(hotel).collect()}
+    assert (primary["usuario"].claves_repetidas, primary["usuario"].filas_repetidas, primary["usuario"].filas_nulas) == (1, 2, 1)
+    assert primary["detalle_paquete_promocional"].claves_repetidas == 0
+    unique = {(r.tabla, r.columnas): (r.claves_repetidas, r.filas_repetidas, r.filas_nulas)
+              for r in quality.unique_keys(hotel).collect()}
+    assert unique["usuario", "email"] == (1, 2, 0)
+    assert unique["detalle_paquete_promocional", "id_paquete_promocional, id_servicio"] == (1, 2, 0)
+    empty = seed.replace(usuario=guest.limit(0))
+    assert {r.claves_repetidas for r in quality.primary_keys(empty).filter("tabla = 'usuario'").collect()} == {0}
+
+
+def test_each_reference_counts_its_own_orphans(spark, seed):
+    """Several columns refer to one parent; NULL is no orphan, a repeated parent no second one."""
+    staff = seed.empleado.filter("id_empleado <> 1")
+    hotel = seed.replace(empleado=staff.unionByName(staff))
+    found = {(r.tabla, r.columna): (r.claves_huerfanas, r.filas_huerfanas)
+             for r in quality.foreign_keys(hotel).filter("padre = 'empleado'").collect()}
+    assert len(found) == 7
+    for (table, column), counted in found.items():
+        lost = hotel.table(table).filter(f"{column} = 1").count()
+        assert counted == (int(lost > 0), lost)
+
+
+def test_audit_of_changes_without_booking_or_employee(spark, seed):
+    log = seed.bitacora_habitacion
+    nobody = log.withColumns({
+        "id_empleado": F.when(F.col("id_bitacora") % 3 == 0, F.col("id_empleado")),
+        "id_reservacion": F.when(F.col("id_bitacora") % 2 == 0, F.col("id_reservacion")),
+    })
+    hotel = seed.replace(bitacora_habitacion=nobody)
+    people = {r.id_empleado: f"{r.nombres} {r.apellidos}" for r in seed.empleado.collect()}
+    costs = {r.id_reservacion: r.total for r in seed.reservacion.collect()}
+    asked = {r.id_bitacora: r for r in nobody.collect()}
+    audit = occupancy.room_audit(hotel).collect()
+    assert len(audit) == len(asked) == log.count()
+    for row in audit:
+        change = asked[row.id_bitacora]
+        assert (row.empleado, row.costo_reserva) == (people.get(change.id_empleado), costs.get(change.id_reservacion))
+    one = occupancy.room_audit(hotel, 1).collect()
+    assert [r.cambio for r in one] == sorted((r.cambio for r in one), reverse=True)
