@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows whose Python objects exist at once; texts of a batch can be long.
 SLICE = 512
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -29,10 +30,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: work done once, lineage cut."""
+    """Write ``df`` to the shared folder and read it back: work done once, lineage cut.
+
+    Nobody reads the shuffle files of a written step again, so Spark is asked to
+    remove them with the write instead of some time after.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark, name)
-    df.write.parquet(folder)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 
