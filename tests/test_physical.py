@@ -95,3 +95,10 @@ def test_missing_keys_are_dealt_over_tasks(large, seed):
     assert "Exchange rangepartitioning" not in plan
     assert len(re.findall(r"Exchange hashpartitioning\(_llave#", plan)) == 4
     assert not re.findall(r"Exchange hashpartitioning\(id_(?:reservacion|empleado)#", plan)
+
+
+def test_consumption_is_condensed_per_service_only(large, seed):
+    """No task holds an entry per booking and service."""
+    plan = plan_of(services.vip_top_services(seed))
+    assert re.search(r"HashAggregate\(keys=\[id_servicio#\d+L\], functions=\[partial_count", plan)
+    assert not re.search(r"HashAggregate\(keys=\[id_reservacion#\d+L, id_servicio", plan)
