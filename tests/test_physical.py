@@ -102,3 +102,9 @@ def test_consumption_is_condensed_per_service_only(large, seed):
     plan = plan_of(services.vip_top_services(seed))
     assert re.search(r"HashAggregate\(keys=\[id_servicio#\d+L\], functions=\[partial_count", plan)
     assert not re.search(r"HashAggregate\(keys=\[id_reservacion#\d+L, id_servicio", plan)
+
+
+def test_held_values_meet_the_keys_in_one_join(large, seed):
+    """Restricting references are put together first: five joins of one task's partitions would all be that task's memory."""
+    plan = plan_of(quality._blocked(seed, "reservacion", seed.reservacion.select("id_reservacion")))
+    assert len(re.findall(r"SortMergeJoin \[valor#\d+L\]", plan)) <= 3
