@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from innsight.catalog import queries
 from innsight.operators import billing, bookings, occupancy, quality, services
 from innsight.params import Params
+from innsight.sources import fixture
+from innsight.sources.fixture import fixture_hotel
 from innsight.sources.generator import ANCHOR
 from tests.conftest import SF_SMALL
 
@@ -108,3 +110,14 @@ def test_held_values_meet_the_keys_in_one_join(large, seed):
     """Restricting references are put together first: five joins of one task's partitions would all be that task's memory."""
     plan = plan_of(quality._blocked(seed, "reservacion", seed.reservacion.select("id_reservacion")))
     assert len(re.findall(r"SortMergeJoin \[valor#\d+L\]", plan)) <= 3
+
+
+def test_stays_are_found_in_tasks_of_bounded_size(large, monkeypatch):
+    """Bare keys compress so well that a size in bytes puts millions of rows into one task."""
+    whole = sorted(fixture_hotel(large, SF_SMALL).estancia.collect())
+    monkeypatch.setattr(fixture, "LINES_PER_TASK", 1000)
+    stays = fixture_hotel(large, SF_SMALL).estancia
+    tasks = large.read.parquet(f"{SF_SMALL}/lineitem.parquet").count() // 1000 + 1
+    assert tasks > 4
+    assert len(re.findall(rf"Exchange hashpartitioning\(id_reservacion#\d+L, {tasks}\), REPARTITION_BY_NUM", plan_of(stays))) == 2
+    assert sorted(stays.collect()) == whole
