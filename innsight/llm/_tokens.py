@@ -9,6 +9,8 @@ import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from innsight.llm._work import kept
 
@@ -21,6 +23,7 @@ _SINGLE = re.compile(f"(?<=[^ {_BLANKS}]) (?=[^ {_BLANKS}])")
 _PLAIN = re.compile(f"\n?[^ {_BLANKS}]+")
 #: Marks that end a word without being part of its last token.
 _MARKS = ".,!?;:$%&*#"
+_ENDINGS = frozenset(_MARKS)
 #: Words longer than this are encoded each time; so many others are remembered.
 LONGEST_REMEMBERED, REMEMBERED = 40, 700_000
 
@@ -87,15 +90,26 @@ class Encoder:
         # tokens that begin with the blank or the line feed, as byte-level vocabularies write them
         names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
         self._begins = np.array([n[:1] in ("\u0120", "\u010a") for n in names])
+        self._bytes = [i.to_bytes(4, "little") for i in range(len(names))]
+        self._model = tokenizer.model
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(ids, dtype="<u4").tobytes() for ids in self._batch(texts)]
 
     def _heads(self, heads: list[str]) -> dict[str, bytes]:
-        """Ids of words after a blank, or with their line feed; many are encoded as one text and told apart by their first token."""
-        found = {}
-        plain = [h for h in heads if _PLAIN.fullmatch(h)]
-        rest = [h for h in heads if not _PLAIN.fullmatch(h)]
+        """Ids of words after a blank, or with their line feed.
+
+        A-Z after a blank are one piece for the pre-tokenizer and written as they
+        are, so such a word goes to the model at once. Of the others many are
+        encoded as one text and told apart by their first token.
+        """
+        found, plain, rest = {}, [], []
+        pieces, raw = self._model.tokenize, self._bytes
+        for h in heads:
+            if h.isascii() and h.isalpha():
+                found[h] = b"".join([raw[x.id] for x in pieces("\u0120" + h)])
+            else:
+                (plain if _PLAIN.fullmatch(h) else rest).append(h)
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
             ids = np.asarray(self._batch(["".join(h if h[0] == "\n" else " " + h for h in some)])[0], dtype="<u4")
@@ -103,34 +117,71 @@ class Encoder:
             if len(begins) != len(some):
                 rest += some
                 continue
-            raw, cuts = ids.tobytes(), [*(begins * 4).tolist(), 4 * len(ids)]
-            found.update((h, raw[a:b]) for h, a, b in zip(some, cuts, cuts[1:], strict=False))
+            joined, cuts = ids.tobytes(), [*(begins * 4).tolist(), 4 * len(ids)]
+            found.update((h, joined[a:b]) for h, a, b in zip(some, cuts, cuts[1:], strict=False))
         found.update(zip(rest, self._whole([h if h[:1] == "\n" else " " + h for h in rest]), strict=True))
         return found
 
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of ``words``, as they are after a blank or with their line feed."""
+        known = self._known
+        marked = {w: _bare(w) for w in words if w[-1:] in _ENDINGS}
+        heads = {marked.get(w, w) for w in words}.difference(known)
+        marks = list({w[len(b) :] for w, b in marked.items()})
+        known.update(self._heads(list(heads)))
+        ends = dict(zip(marks, self._whole(marks), strict=True))
+        known.update([(w, known[b] + ends[w[len(b) :]]) for w, b in marked.items() if w != b])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; a null text counts as empty."""
         texts = [text or "" for text in texts]
         if not self.by_word:
             return self._whole(texts)
-        cut = [None if any(s in text for s in self.special) else words_of(text) for text in texts]
+        found: list[bytes] = [b""] * len(texts)
+        special = [i for i, text in enumerate(texts) if any(s in text for s in self.special)]
+        for i, ids in zip(special, self._whole([texts[i] for i in special]), strict=True):
+            found[i] = ids
+        left = np.array(sorted(set(range(len(texts))).difference(special)), np.int64)
+        rows = pa.array([texts[i] for i in left.tolist()], pa.large_string())
+        odd = pc.match_substring_regex(rows, _UNEVEN.pattern)
+        uneven, even = (left[mask.to_numpy(zero_copy_only=False)].tolist() for mask in (odd, pc.invert(odd)))
+        blank = pc.replace_substring(rows.filter(pc.invert(odd)), "\n", " \n")
+        for order, lists in (
+            (even, pc.split_pattern(blank, " ")),
+            (uneven, pa.array([words_of(texts[i]) for i in uneven], pa.list_(pa.large_string()))),
+        ):
+            for i, ids in zip(order, self._joined(lists), strict=True):
+                found[i] = ids
+        return found
+
+    def _joined(self, lists: pa.ListArray) -> list[bytes]:
+        """Ids of texts that are given as their words; each distinct word is looked up once."""
+        if not len(lists):
+            return []
         known = self._known
         if len(known) > REMEMBERED:
             known.clear()
-        new = {w for words in cut if words for w in words[1:]}.difference(known)
-        bare = {w: _bare(w) for w in new}
-        heads = list(set(bare.values()).difference(known))
-        marks = list({w[len(b) :] for w, b in bare.items()})
-        known.update(self._heads(heads))
-        ends = dict(zip(marks, self._whole(marks), strict=True))
-        known.update([(w, known[b] + ends[w[len(b) :]]) for w, b in bare.items() if w != b])
-        look = known.__getitem__
-        first = iter(self._whole([words[0] for words in cut if words]))
-        whole = iter(self._whole([text for text, words in zip(texts, cut, strict=True) if not words]))
-        found = [next(first) + b"".join(map(look, words[1:])) if words else next(whole) for words in cut]
-        for word in {w for w in (*new, *heads) if len(w) > LONGEST_REMEMBERED}:
+        cuts, coded = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        names, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        opening = np.zeros(len(codes), bool)
+        opening[cuts[:-1]] = True
+        inner = np.zeros(len(names), bool)
+        inner[codes[~opening]] = True
+        inner = [names[i] for i in np.flatnonzero(inner).tolist()]
+        new = [w for w in inner if w not in known]
+        self._learn(new)
+        # a text's first word has no blank before it
+        first, place = np.unique(codes[opening], return_inverse=True)
+        codes[opening] = len(names) + place
+        ids = [*map(known.get, names), *self._whole([names[i] for i in first.tolist()])]
+        pieces = pa.array(ids, pa.large_binary()).take(pa.array(codes))
+        ends, raw = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1], memoryview(pieces.buffers()[2] or b"")
+        at = ends[cuts].tolist()
+        for word in [w for w in new if len(w) > LONGEST_REMEMBERED]:
             del known[word]
-        return found
+            if len(bare := _bare(word)) > LONGEST_REMEMBERED:
+                known.pop(bare, None)
+        return [bytes(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
     def count(self, texts: list[str]) -> list[int]:
         return [len(ids) // 4 for ids in self.encode(texts)]

@@ -15,6 +15,8 @@ from innsight.llm._work import column_type, slices, stored
 
 #: Tails packed together by one task.
 GROUP_ROWS = 4096
+#: Rows, and bytes of text, that are encoded at once: words that texts share are looked up once for all of them.
+SLICE_ROWS, SLICE_BYTES = 4096, 6 << 20
 #: A gap in a sequence is filled with a cut piece if it has so many ids.
 LEAST_CUT = 16
 
@@ -107,7 +109,7 @@ def _cutter(tokenizer_path: str, capacity: int, schema: pa.Schema):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         seen: dict = {}
-        for part in slices(batches, keep=ENCODERS):
+        for part in slices(batches, SLICE_ROWS, ENCODERS, SLICE_BYTES):
             ids_of_rows = encode.encode(part.column(1).to_pylist())
             rows: list[tuple] = []
             for key, ids in zip(part.column(0).to_pylist(), ids_of_rows, strict=True):
