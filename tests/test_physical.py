@@ -121,3 +121,17 @@ def test_stays_are_found_in_tasks_of_bounded_size(large, monkeypatch):
     assert tasks > 4
     assert len(re.findall(rf"Exchange hashpartitioning\(id_reservacion#\d+L, {tasks}\), REPARTITION_BY_NUM", plan_of(stays))) == 2
     assert sorted(stays.collect()) == whole
+
+
+def test_line_items_are_shuffled_once_for_account_details(large):
+    """They were shuffled to their bookings and, with the rooms, once more to the accounts."""
+    hotel = fixture_hotel(large, SF_SMALL)
+    plan = hotel.detalle_cuenta._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in plan[: plan.index("Union")]
+
+
+def test_digests_do_not_travel_for_null_counts(large):
+    hotel = fixture_hotel(large, SF_SMALL)
+    plan = hotel.consumo_servicio.selectExpr("count_if(id_consumo IS NULL) AS n")._jdf.queryExecution()
+    assert "md5" in hotel.consumo_servicio._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan.optimizedPlan().toString()
