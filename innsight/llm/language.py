@@ -215,7 +215,9 @@ def predict_languages(documents: DataFrame, model: Model, id_column: str = "doc_
     The model travels with the task: its size is set by ``buckets``, not by the
     data. Nothing is shuffled.
     """
-    kept = {c: f"_c{i}" for i, c in enumerate(carried)}
+    # the text, if carried, crosses to the workers and back once
+    kept = {c: "_text" if c == text_column else f"_c{i}" for i, c in enumerate(carried)}
+    others = [c for c in carried if c != text_column]
     ddl = ", ".join(
         [f"_id {column_type(documents, id_column)}", "lang_pred string", "score double", "rejected boolean"]
         + [f"{n} {column_type(documents, c)}" for c, n in kept.items()]
@@ -226,11 +228,12 @@ def predict_languages(documents: DataFrame, model: Model, id_column: str = "doc_
             found = list(zip(*map(model.predict, part.column(1).to_pylist()), strict=True)) or [[], [], []]
             arrays = [pa.array(c, t) for c, t in zip(found, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *arrays, *part.columns[2:]], ["_id", "lang_pred", "score", "rejected", *kept.values()]
+                [part.column(0), *arrays, *(part.column(n) for n in kept.values())],
+                ["_id", "lang_pred", "score", "rejected", *kept.values()],
             )
 
     rows = documents.select(
-        F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *(F.col(c).alias(n) for c, n in kept.items())
+        F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *(F.col(c).alias(kept[c]) for c in others)
     ).mapInArrow(predict, ddl)
     return rows.select(F.col("_id").alias(id_column), "lang_pred", "score", "rejected", *(F.col(n).alias(c) for c, n in kept.items()))
 

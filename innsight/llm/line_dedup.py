@@ -180,6 +180,10 @@ def kept_text(text, bitmap):
     return pd.Series([keep_lines(t, b) for t, b in zip(text, bitmap, strict=True)], dtype=object)
 
 
+#: Else a filter on the result has it computed twice, in two Python workers for each task.
+kept_text = kept_text.asNondeterministic()
+
+
 def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         counts, digests = [], []

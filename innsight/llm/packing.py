@@ -16,7 +16,7 @@ from innsight.llm._work import column_type, slices, stored
 #: Tails packed together by one task.
 GROUP_ROWS = 4096
 #: Rows, and bytes of text, that are encoded at once: words that texts share are looked up once for all of them.
-SLICE_ROWS, SLICE_BYTES = 4096, 6 << 20
+SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
 #: A gap in a sequence is filled with a cut piece if it has so many ids.
 LEAST_CUT = 16
 

@@ -196,3 +196,20 @@ def test_short_items(spark):
 def test_language_without_labelled_rows(spark, nothing, mixed):
     model = language.train(nothing.select("doc_id", "text", "lang"))
     assert language.predict_languages(mixed, model).count() == mixed.count()
+
+
+def test_kept_text_is_computed_once(spark, documents):
+    """Twice, for a filter and for its result, took two Python workers for each task."""
+    plan = pipeline.drop_repeated_lines(spark, documents, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_carried_text_goes_to_the_workers_once(spark, documents, mixed):
+    model = language.train(documents)
+    found = language.predict_languages(mixed, model, carried=("text", "lang", "source"))
+    assert found.columns == ["doc_id", "lang_pred", "score", "rejected", "text", "lang", "source"]
+    wanted = Counter(tuple(r) for r in mixed.select("doc_id", "text", "lang", "source").collect())
+    assert Counter(tuple(r) for r in found.select("doc_id", "text", "lang", "source").collect()) == wanted
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    sent = next(line for line in plan.split("\n") if "MapInArrow" in line).split("(", 1)[1].split(")")[0]
+    assert sent.count("text#") == 1

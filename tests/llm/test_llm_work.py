@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from innsight.llm._work import CLEANUP, stored
@@ -26,3 +27,15 @@ def test_a_step_can_be_stored_twice(spark):
     counted = spark.range(100).groupBy((F.col("id") % 3).alias("k")).count()
     once, twice = stored(counted, "work-test"), stored(counted, "work-test")
     assert sorted(once.collect()) == sorted(twice.collect())
+
+
+def test_workers_get_small_batches_while_a_step_is_stored(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    kept = stored(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"), "work-test")
+    assert sorted(r.n for r in kept.collect()) == [904, 2048, 2048]
+    assert spark.conf.get(name) == before
